@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Rows of a block of candidates and of a block of queries; both bound a task's memory.
 CANDIDATE_ROWS, QUERY_ROWS, TILE_ROWS = 32_768, 1_024, 2_048
 
@@ -40,6 +42,7 @@ def block_join(df: DataFrame, is_query, search, k: int, candidate_rows: int, que
     ``search`` returns (query index, id, score) arrays with no more than k entries a query.
     Vectors of different lengths never meet.
     """
+    ship(df.sparkSession)
     df = df.withColumn("d", F.size("v"))
     counts = df.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     nc, nq = max(1, -(-counts.n // candidate_rows)), max(1, -(-counts.q // query_rows))
