@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: In the order of the operators.
-MODULES = ("ann", "impact", "packing", "ngram_join", "token_counts")
+MODULES = ("ann", "impact", "packing", "ngram_join", "toxicity", "secrets", "suffix_dedup", "html_text", "token_counts", "sentencepieces")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
