@@ -32,6 +32,7 @@ SPACE = "▁"
 #: Words a worker remembers, the longest of them, words in one batch, longest word done by array rounds.
 CACHE, CACHE_CHARS, BATCH, ROUNDS = 250_000, 40, 4096, 128
 UNKNOWN = 10.0
+TOP = U64(44)
 
 
 class Pieces:
@@ -49,6 +50,9 @@ class Pieces:
         self.key, self.id = key[order], np.array(normal, np.int64)[order]
         if (self.key[1:] == self.key[:-1]).any():
             raise ValueError("two pieces have one hash")
+        # where the keys of each top begin, so that a probe looks at few of them
+        self.first = np.searchsorted(self.key >> TOP, np.arange((1 << 20) + 1, dtype=U64)).astype(np.int64)
+        self.probes = int(np.diff(self.first).max(initial=0))
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "byte"}
         self.unknown = next((i for i, k in enumerate(kinds) if k == "unknown"), 0)
         self.low = float(self.score[normal].min()) - UNKNOWN if normal else -UNKNOWN
@@ -83,14 +87,17 @@ class Pieces:
     def table(self, code: np.ndarray) -> np.ndarray:
         """Ids of the pieces at [:, start, characters - 1], or -1."""
         w, n, key = self.prefix(code, self.longest)
-        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        found = np.where(self.key[at] == key, self.id[at], -1) if len(self.key) else np.full(key.shape, -1)
+        at = self.first[(key >> TOP).astype(np.int64)]
+        found = np.full(key.shape, -1, np.int64)
+        for k in range(self.probes):
+            i = np.minimum(at + k, len(self.key) - 1)
+            np.copyto(found, self.id[i], where=self.key[i] == key)
         for size in range(2, found.shape[2] + 1):
             found[:, n - size + 1 :, size - 1] = -1
         return found
 
-    def viterbi(self, table: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Spans of the best path of each word. On ties the longest last piece is taken."""
+    def viterbi(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end) of the spans of each word's best path. On ties the longest last piece is taken."""
         w, n, longest = table.shape
         best = np.full((w, n + 1), -np.inf)
         best[:, 0] = 0
@@ -102,16 +109,16 @@ class Pieces:
             total = np.stack([best[:, end - s] + worth[:, end - s, s - 1] for s in sizes], 1)
             pick = total.argmax(1)
             best[:, end], back[:, end] = total[np.arange(w), pick], sizes[pick]
-        out = []
-        for row in back.tolist():
-            spans, end = [], n
-            while end:
-                spans.append((end - row[end], end))
-                end -= row[end]
-            out.append(spans[::-1])
-        return out
-
-    def merges(self, table: np.ndarray) -> list[list[tuple[int, int]]]:
+        ends, at, rows = np.zeros((w, n + 1), bool), np.full(w, n), np.arange(w)
+        while len(rows):
+            ends[rows, at[rows]] = True
+            at[rows] -= back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        row, end = np.nonzero(ends)
+        return row, end - back[row, end], end
+
+    def merges(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end) of the symbols that are left when no two neighbours make a piece."""
         w, n, longest = table.shape
         start = np.tile(np.minimum(np.arange(n + 2), n), (w, 1))
         rank = np.where(table >= 0, self.score[np.maximum(table, 0)], -np.inf)
@@ -128,7 +135,8 @@ class Pieces:
             col = np.arange(n + 2)
             shifted = np.concatenate([s[:, 1:], np.full((len(s), 1), n)], 1)
             start[live] = np.where(col <= pick[:, None], s, shifted)
-        return [[(x, y) for x, y in zip(r[:-1], r[1:], strict=True) if x < y] for r in start.tolist()]
+        row, col = np.nonzero(start[:, :-1] < start[:, 1:])
+        return row, start[row, col], start[row, col + 1]
 
     def merge_long(self, word: str) -> list[tuple[int, int]]:
         """:meth:`merges` of one long word with a heap."""
@@ -157,18 +165,24 @@ class Pieces:
                 offer(left[a])
         return [(a, end[a]) for a in range(n) if not gone[a]]
 
-    def spell(self, word: str, spans: list[tuple[int, int]]) -> bytes:
-        """Ids of the spans as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        for a, b in spans:
-            i = self.ids.get(word[a:b])
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out += [self.byte[x] for x in word[a:b].encode()]
-            else:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+    def spell(self, words: list[str], table: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+        """Ids of each word's spans as little-endian unsigned 32-bit integers."""
+        row, start, end = spans
+        ids = np.full(len(row), -1, np.int64)
+        short = end - start <= table.shape[2]
+        ids[short] = table[row[short], start[short], end[short] - start[short] - 1]
+        cut = np.searchsorted(row, np.arange(len(words) + 1))
+        raw, cut4 = ids.astype("<u4").tobytes(), (4 * cut).tolist()
+        out = [raw[a:b] for a, b in zip(cut4[:-1], cut4[1:], strict=True)]
+        for i in np.unique(row[ids < 0]).tolist():
+            one: list[int] = []
+            for k in range(cut[i], cut[i + 1]):
+                if ids[k] >= 0:
+                    one.append(int(ids[k]))
+                else:
+                    one += [self.byte[x] for x in words[i][start[k] : end[k]].encode()] if self.byte else [self.unknown]
+            out[i] = np.array(one, "<u4").tobytes()
+        return out
 
     def words(self, new: list[str]) -> Iterator[tuple[str, bytes, bytes]]:
         """(word, its ids, ids of its best sum of scores); they differ only for models that merge."""
@@ -180,11 +194,14 @@ class Pieces:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 table = self.table(np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), size))
-                summed = self.viterbi(table)
-                spans = summed if self.algorithm == "viterbi" else self.merges(table) if size <= ROUNDS else [self.merge_long(w) for w in part]
-                for w, a, b in zip(part, spans, summed, strict=True):
-                    ids = self.spell(w, a)
-                    yield w, ids, ids if a == b else self.spell(w, b)
+                summed = self.spell(part, table, self.viterbi(table))
+                if self.algorithm == "viterbi":
+                    own = summed
+                elif size <= ROUNDS:
+                    own = self.spell(part, table, self.merges(table))
+                else:
+                    own = [self.spell([w], t[None], tuple(np.array([(0, *x) for x in self.merge_long(w)]).T))[0] for w, t in zip(part, table, strict=True)]
+                yield from zip(part, own, summed, strict=True)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids, and those of the best sums of scores."""
