@@ -299,8 +299,8 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), most:
     """
     counts, weight, beta = fit(docs, labels, most)
     shared = docs.sparkSession.sparkContext.broadcast((counts, weight, beta))  # bounded by BINS and LETTERS
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id_"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"{c}_carried") for c in carry])
-    fields = source.schema.fields[2:]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id_"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"{c}_carried") for c in carry if c != "text"])
+    fields = [f for f in source.schema.fields if f.name.endswith("_carried") or (f.name == "text" and "text" in carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weight, beta = shared.value
