@@ -1,6 +1,435 @@
-"""Every query of the engine with its SQL twin."""
+"""Every query of the engine with its SQL twin.
+
+The twins are written from the definitions, for DuckDB: windows and aggregates over the same total orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import scalar
+from ..functions.codec import pack5, unpack5
+from ..operators import dictionary, floats, integers, json_rows, nested, reconcile
+from ..operators.position import cells, with_positions
+from ..session import ship
+from ..sources import chunks, corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A total order of each table; the last columns break ties between equal keys.
+ORDER = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "events": ["event_id"], "documents": ["doc_id"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn", "role", "text"], "nation": ["n_nationkey"], "region": ["r_regionkey"],
+}
+INTS = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_nationkey"], "part": ["p_partkey", "p_size"], "events": ["event_id", "user_id"]}
+FLOATS = {"lineitem": ["l_discount", "l_extendedprice"], "customer": ["c_acctbal"], "part": ["p_retailprice"], "events": ["value"]}
+TEXTS = {"lineitem": ["l_returnflag", "l_linestatus"], "orders": ["o_orderpriority"], "events": ["event_type"], "documents": ["lang"], "part": ["p_name"], "customer": ["c_name"]}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def cells_of(spark: SparkSession, sf_dir: str, columns: dict[str, list[str]], kind: str = "long") -> DataFrame:
+    """Cells of columns of several tables; a column's name tells its table."""
+    out = None
+    for t, names in columns.items():
+        part = cells(with_positions(table(spark, sf_dir, t).select(*dict.fromkeys([*ORDER[t], *names])), ORDER[t]), names, kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sql_cells(columns: dict[str, list[str]], kind: str = "BIGINT") -> str:
+    parts = []
+    for t, names in columns.items():
+        for c in names:
+            parts.append(f"SELECT '{c}' AS column_name, CAST({c} AS {kind}) AS v, row_number() OVER (ORDER BY {', '.join(ORDER[t])}) - 1 AS pos FROM {t}")
+    return "cells AS (SELECT column_name, v, pos, pos // 4096 AS row_group, pos % 4096 // 128 AS block FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+def zz(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN 2 * {x} ELSE -2 * {x} - 1 END)"
+
+
+def bits(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END)"
+
+
+def sql_ints(columns: dict[str, list[str]]) -> str:
+    """CTEs cells, res and widths."""
+    return f"""WITH {sql_cells(columns)},
+low AS (SELECT *, min(v) OVER (PARTITION BY column_name, row_group) AS least, lead(v) OVER (PARTITION BY column_name, row_group ORDER BY pos) - v AS d FROM cells),
+res AS (SELECT *, CASE WHEN least < 0 THEN {zz('v')} ELSE v END AS raw, v - least AS frame, CASE WHEN d IS NOT NULL THEN {zz('d')} END AS step FROM low),
+ors AS (SELECT column_name, row_group, block, count(*) AS n, count(step) AS n_steps, bit_or(raw) AS r, bit_or(frame) AS f, coalesce(bit_or(step), 0) AS s, min(least) AS least, max(v) AS most FROM res GROUP BY ALL),
+widths AS (SELECT column_name, row_group, block, n, n_steps, {bits('r')} AS raw_width, {bits('f')} AS frame_width, {bits('s')} AS step_width, least, most FROM ors),
+costs AS (SELECT column_name, row_group, CAST(sum(n) AS BIGINT) AS n, CAST(sum(1 + (n * raw_width + 7) // 8) AS BIGINT) AS raw_cost, CAST(8 + sum(1 + (n * frame_width + 7) // 8) AS BIGINT) AS frame_cost,
+    CAST(8 + sum(CASE WHEN n_steps > 0 THEN 1 + (n_steps * step_width + 7) // 8 ELSE 0 END) AS BIGINT) AS delta_cost, min(least) = max(most) AS same FROM widths GROUP BY ALL),
+best AS (SELECT *, least(raw_cost, frame_cost, CASE WHEN n > 1 THEN delta_cost ELSE raw_cost END, CASE WHEN same THEN 8 ELSE raw_cost END) AS b FROM costs),
+chosen AS (SELECT column_name, row_group, n, raw_cost, frame_cost, delta_cost, CASE WHEN raw_cost = b THEN 'raw' WHEN frame_cost = b THEN 'frame' WHEN n > 1 AND delta_cost = b THEN 'delta' ELSE 'constant' END AS transform, b + 1 AS size FROM best)
+"""
+
+
+@query("int_column_stats", sql_ints({"lineitem": INTS["lineitem"]}) + "SELECT column_name, row_group, count(*) AS n, min(v) AS least, max(v) AS most, min(v) = max(v) AS is_constant, false AS overflows FROM cells GROUP BY ALL")
+def int_column_stats(spark, sf_dir):
+    return integers.column_stats(cells_of(spark, sf_dir, {"lineitem": INTS["lineitem"]}))
+
+
+@query("block_widths", sql_ints({"lineitem": ["l_orderkey"]}) + "SELECT column_name, row_group, block, n, n_steps, CAST(raw_width AS INTEGER) AS raw_width, CAST(frame_width AS INTEGER) AS frame_width, CAST(step_width AS INTEGER) AS step_width FROM widths")
+def block_widths(spark, sf_dir):
+    return integers.block_widths(cells_of(spark, sf_dir, {"lineitem": ["l_orderkey"]})).drop("least", "most", "overflows")
+
+
+@query("transform_choice", sql_ints({"lineitem": INTS["lineitem"], "orders": INTS["orders"]}) + "SELECT * FROM chosen")
+def transform_choice(spark, sf_dir):
+    return integers.transform_costs(cells_of(spark, sf_dir, {"lineitem": INTS["lineitem"], "orders": INTS["orders"]}))
+
+
+@query("encoded_size_by_column", sql_ints(INTS) + "SELECT column_name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS size, count(*) AS groups FROM chosen GROUP BY 1")
+def encoded_size_by_column(spark, sf_dir):
+    return integers.sizes(cells_of(spark, sf_dir, INTS))
+
+
+@query("delta_encode", f"WITH {sql_cells({'orders': ['o_orderkey']})}, d AS (SELECT column_name, row_group, pos, first(v) OVER w AS base, v - lag(v) OVER w AS d FROM cells WINDOW w AS (PARTITION BY row_group ORDER BY pos)) SELECT column_name, row_group, pos, base, CASE WHEN d IS NOT NULL THEN {zz('d')} END AS residual FROM d")
+def delta_encode(spark, sf_dir):
+    return integers.delta_encoded(cells_of(spark, sf_dir, {"orders": ["o_orderkey"]}))
+
+
+@query("delta_decode_roundtrip", f"WITH {sql_cells({'orders': ['o_orderkey', 'o_custkey']})} SELECT column_name, row_group, pos, v FROM cells")
+def delta_decode_roundtrip(spark, sf_dir):
+    return integers.delta_decoded(integers.delta_encoded(cells_of(spark, sf_dir, {"orders": INTS["orders"]})))
+
+
+@query("for_encode", f"WITH {sql_cells({'customer': ['c_nationkey']})} SELECT column_name, row_group, pos, min(v) OVER (PARTITION BY row_group) AS base, v - min(v) OVER (PARTITION BY row_group) AS residual FROM cells")
+def for_encode(spark, sf_dir):
+    return integers.frame_encoded(cells_of(spark, sf_dir, {"customer": ["c_nationkey"]}))
+
+
+@query("for_decode_roundtrip", f"WITH {sql_cells({'customer': ['c_nationkey']})} SELECT column_name, row_group, pos, v FROM cells")
+def for_decode_roundtrip(spark, sf_dir):
+    return integers.frame_decoded(integers.frame_encoded(cells_of(spark, sf_dir, {"customer": ["c_nationkey"]})))
+
+
+@query("zigzag_roundtrip", f"SELECT l_orderkey - l_partkey AS d, {zz('(l_orderkey - l_partkey)')} AS u, l_orderkey - l_partkey AS back, count(*) AS n FROM lineitem GROUP BY ALL")
+def zigzag_roundtrip(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") - F.col("l_partkey")).alias("d"))
+    d = d.withColumn("u", scalar.zigzag(F.col("d"))).withColumn("back", scalar.unzigzag(F.col("u")))
+    return d.groupBy("d", "u", "back").agg(F.count("*").alias("n"))
+
+
+SUPPRESSED = {"lineitem": ["l_orderkey", "l_linenumber", "l_discount", "l_returnflag"], "events": ["event_id", "value", "event_type"], "region": ["r_regionkey", "r_name"]}
+
+
+def _suppressed_sql() -> str:
+    one = lambda t, c: f"SELECT '{c}' AS column_name, min({c}) IS NOT DISTINCT FROM max({c}) AS is_constant, bool_and({c} = {chr(39) * 2 if c in ('l_returnflag', 'event_type', 'r_name') else 0}) AS is_zero FROM {t}"
+    return " UNION ALL ".join(one(t, c) for t, names in SUPPRESSED.items() for c in names)
+
+
+@query("constant_and_zero_columns", _suppressed_sql())
+def constant_and_zero_columns(spark, sf_dir):
+    out = None
+    for t, names in SUPPRESSED.items():
+        part = integers.suppressed(table(spark, sf_dir, t), names)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SQL_DICT = f"""WITH {sql_cells(TEXTS, 'VARCHAR')},
+entry AS (SELECT column_name, v AS value, min(pos) AS first_pos, count(*) AS uses FROM cells WHERE v IS NOT NULL GROUP BY ALL),
+dict AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY first_pos) - 1 AS id FROM entry),
+rows_ AS (SELECT column_name, count(*) AS n, CAST(sum(strlen(v) + CASE WHEN strlen(v) <= 254 THEN 1 ELSE 5 END) AS BIGINT) AS raw, max(strlen(v)) AS longest FROM cells WHERE v IS NOT NULL GROUP BY 1),
+vals AS (SELECT column_name, count(*) AS entries, CAST(sum(strlen(value) + CASE WHEN strlen(value) <= 254 THEN 1 ELSE 5 END) AS BIGINT) AS added, count(*) FILTER (first_pos < 1024) AS early FROM entry GROUP BY 1),
+cost AS (SELECT *, added + (n * {bits('(entries - 1)')} + 7) // 8 + (n + 127) // 128 + 1 + CASE WHEN entries <= 254 THEN 1 ELSE 5 END + 1 AS cost FROM rows_ JOIN vals USING (column_name))
+"""
+
+
+@query("dictionary_build", SQL_DICT + "SELECT column_name, CAST(id AS INTEGER) AS id, value, first_pos, uses FROM dict WHERE column_name NOT IN ('p_name', 'c_name')")
+def dictionary_build(spark, sf_dir):
+    few = {t: c for t, c in TEXTS.items() if t not in ("part", "customer")}
+    return dictionary.build(cells_of(spark, sf_dir, few, "string")).select("column_name", "id", "value", "first_pos", "uses")
+
+
+@query("dictionary_decision", SQL_DICT + "SELECT column_name, n, entries, raw, cost, NOT (early > 896 OR entries > n // 2 OR entries > 65536 OR longest = 0 OR cost >= raw) AS accepted FROM cost")
+def dictionary_decision(spark, sf_dir):
+    return dictionary.decide(cells_of(spark, sf_dir, TEXTS, "string"))
+
+
+@query("dictionary_encode_decode", f"WITH {sql_cells({'orders': ['o_orderpriority', 'o_orderstatus']}, 'VARCHAR')} SELECT column_name, pos, v FROM cells")
+def dictionary_encode_decode(spark, sf_dir):
+    c = cells_of(spark, sf_dir, {"orders": ["o_orderpriority", "o_orderstatus"]}, "string")
+    entries = dictionary.build(c)
+    return dictionary.decode(dictionary.encode(c, entries), entries).select("column_name", "pos", "v")
+
+
+SQL_DECIMAL = f"""WITH {sql_cells(FLOATS, 'DOUBLE')},
+s AS (SELECT *, row_number() OVER w - 1 AS k, greatest(1, count(*) OVER (PARTITION BY column_name, row_group) // 32) AS step FROM cells WINDOW w AS (PARTITION BY column_name, row_group ORDER BY pos)),
+t AS (SELECT column_name, row_group, e AS exponent, v, pow(10::DOUBLE, e) AS power FROM s, (SELECT unnest(range(0, 19)) AS e) WHERE k % step = 0 AND k // step < 32),
+r AS (SELECT column_name, row_group, exponent, count(*) FILTER (abs(v * power) < 2251799813685248 AND round_even(v * power, 0) / power = v) AS reached, count(*) AS sampled FROM t GROUP BY ALL),
+x AS (SELECT column_name, row_group, CAST(exponent AS INTEGER) AS exponent, reached, sampled FROM r QUALIFY row_number() OVER (PARTITION BY column_name, row_group ORDER BY reached DESC, exponent) = 1)
+"""
+
+
+@query("decimal_exponent", SQL_DECIMAL + "SELECT * FROM x")
+def decimal_exponent(spark, sf_dir):
+    return floats.exponents(cells_of(spark, sf_dir, FLOATS, "double"))
+
+
+#: Every seventh value of these is a third or has no finite value, so that exceptions occur.
+ODD_SQL = """WITH raw AS (SELECT 'odd' AS column_name, event_id AS pos, event_id // 4096 AS row_group, CASE WHEN event_id % 7 = 3 THEN value / 3 WHEN event_id % 7 = 5 THEN 1e300 ELSE value END AS v FROM events)"""
+
+
+@query("decimal_exceptions", ODD_SQL + """, d AS (SELECT *, CASE WHEN abs(v * 100) < 2251799813685248 AND round_even(v * 100, 0) / 100 = v THEN CAST(round_even(v * 100, 0) AS BIGINT) END AS own FROM raw)
+SELECT column_name, row_group, pos, own IS NULL AS is_exception, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY row_group ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS i FROM d""")
+def decimal_exceptions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    odd = F.when(F.col("event_id") % 7 == 3, F.col("value") / 3).when(F.col("event_id") % 7 == 5, 1e300).otherwise(F.col("value"))
+    c = e.select(F.lit("odd").alias("column_name"), F.col("event_id").alias("pos"), F.floor(F.col("event_id") / 4096).alias("row_group"), F.lit(0).alias("block"), odd.alias("v"))
+    fixed = c.select("column_name", "row_group").distinct().withColumn("exponent", F.lit(2))
+    return floats.decimals(c, fixed).select("column_name", "row_group", "pos", "is_exception", "i")
+
+
+@query("decimal_column_size", SQL_DECIMAL.replace("WITH cells AS", "WITH fcells AS").replace("FROM cells", "FROM fcells") + f""", cells AS (SELECT column_name, pos, row_group, block, CAST(round_even(v * pow(10::DOUBLE, exponent), 0) AS BIGINT) AS v FROM fcells JOIN x USING (column_name, row_group)),
+""" + sql_ints({"events": ["event_id"]}).split(",\n", 1)[1] + "SELECT column_name, row_group, n, exponent, 0::BIGINT AS exceptions, size + 6 AS size FROM chosen JOIN x USING (column_name, row_group)")
+def decimal_column_size(spark, sf_dir):
+    return floats.decimal_sizes(cells_of(spark, sf_dir, FLOATS, "double"))
+
+
+SQL_NULLS = """WITH j AS (SELECT d.doc_id, l.quality, l.toxic, CAST(NULL AS INTEGER) AS never, row_number() OVER (ORDER BY d.doc_id) - 1 AS pos FROM documents d LEFT JOIN labels l USING (doc_id)),
+c AS (SELECT 'doc_id' AS column_name, pos, doc_id AS v FROM j UNION ALL SELECT 'quality', pos, quality FROM j UNION ALL SELECT 'toxic', pos, toxic FROM j UNION ALL SELECT 'never', pos, never FROM j),
+cells AS (SELECT *, pos // 4096 AS row_group FROM c)
+"""
+
+
+def _nullable(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left").withColumn("never", F.lit(None).cast("int"))
+    return cells(with_positions(rows, ["doc_id"]), ["doc_id", "quality", "toxic", "never"])
+
+
+@query("nullable_forms", SQL_NULLS + """, g AS (SELECT column_name, row_group, count(*) AS n, count(v) AS present FROM cells GROUP BY ALL), f AS (SELECT *, CASE WHEN present = 0 THEN 'absent' WHEN present = n THEN 'plain' ELSE 'presence' END AS form FROM g)
+SELECT *, CASE WHEN form = 'presence' THEN (n + 7) // 8 ELSE 0 END AS bitmap_bytes FROM f""")
+def nullable_forms(spark, sf_dir):
+    return nested.nullable_forms(_nullable(spark, sf_dir))
+
+
+@query("presence_rank", SQL_NULLS + "SELECT column_name, row_group, pos, v, row_number() OVER (PARTITION BY column_name, row_group ORDER BY pos) - 1 AS dense_index FROM cells WHERE v IS NOT NULL")
+def presence_rank(spark, sf_dir):
+    return nested.presence_rank(_nullable(spark, sf_dir))
+
+
+@query("list_column_lengths", """WITH n AS (SELECT l_orderkey AS o_orderkey, count(*) AS c FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) AS pos FROM orders),
+q AS (SELECT o_orderkey, pos, pos // 4096 AS row_group, coalesce(c, 0) AS n_children FROM p LEFT JOIN n USING (o_orderkey))
+SELECT o_orderkey, row_group, n_children, CAST(coalesce(sum(n_children) OVER (PARTITION BY row_group ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_child FROM q""")
+def list_column_lengths(spark, sf_dir):
+    parents = with_positions(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return nested.list_lengths(parents, table(spark, sf_dir, "lineitem"), "l_orderkey", "o_orderkey")
+
+
+LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query("list_column_rebuild", f"SELECT l_orderkey, {', '.join(LINE)} FROM lineitem")
+def list_column_rebuild(spark, sf_dir):
+    return nested.exploded(nested.collected(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE[:3], LINE), "l_orderkey")
+
+
+@query("layout_choice", "SELECT l_orderkey, count(*) AS n_rows, CASE WHEN count(*) >= 8 THEN 'table' ELSE 'list' END AS layout FROM lineitem GROUP BY 1")
+def layout_choice(spark, sf_dir):
+    return nested.layout(nested.collected(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE[:3], LINE), "l_orderkey")
+
+
+@query("row_group_report", f"WITH {sql_cells({'lineitem': ['l_orderkey']})} SELECT row_group, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM cells GROUP BY 1")
+def row_group_report(spark, sf_dir):
+    return chunks.group_report(table(spark, sf_dir, "lineitem"), ORDER["lineitem"])
+
+
+_TEXT_SIZE = "count(*) AS n, CAST(sum(strlen({0})) AS BIGINT) AS bytes, CAST(sum(strlen({0}) + CASE WHEN strlen({0}) <= 254 THEN 1 ELSE 5 END) AS BIGINT) AS payload"
+
+
+@query("string_payload_size", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_TEXT_SIZE.format(c)} FROM {t}" for t, c in (("documents", "text"), ("pages", "url"), ("part", "p_name"))))
+def string_payload_size(spark, sf_dir):
+    out = None
+    for t, c in (("documents", "text"), ("pages", "url"), ("part", "p_name")):
+        size = F.octet_length(c)
+        part = table(spark, sf_dir, t).agg(F.lit(c).alias("column_name"), F.count("*").alias("n"), F.sum(size).alias("bytes"), F.sum(size + scalar.length_prefix(size)).alias("payload"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _narrow_sql(v: str) -> str:
+    w = lambda x: f"(({bits(x)} + 7) // 8)"
+    return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} IN (1, 2, 3, -1) THEN 1 WHEN {v} > 0 THEN 1 + {w(v)} ELSE 2 + {w(f'(-{v})')} END"
+
+
+def _wide_sql(v: str) -> str:
+    return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} <= 127 THEN 2 ELSE least(2 + greatest(1, ({bits(v)} + 6) // 7), 2 + ({bits(v)} + 7) // 8) END"
+
+
+@query("scalar_field_sizes", f"SELECT CAST(sum({_narrow_sql('(l_orderkey - l_partkey)')}) AS BIGINT) AS narrow_diff, CAST(sum({_narrow_sql('l_suppkey')}) AS BIGINT) AS narrow_supp, CAST(sum({_wide_sql('l_orderkey')}) AS BIGINT) AS wide_order, CAST(sum({_wide_sql('CAST(l_linenumber AS BIGINT)')}) AS BIGINT) AS wide_line FROM lineitem")
+def scalar_field_sizes(spark, sf_dir):
+    c = F.col
+    return table(spark, sf_dir, "lineitem").agg(
+        F.sum(scalar.narrow_int_size(c("l_orderkey") - c("l_partkey"))).cast("long").alias("narrow_diff"), F.sum(scalar.narrow_int_size(c("l_suppkey"))).cast("long").alias("narrow_supp"),
+        F.sum(scalar.wide_uint_size(c("l_orderkey"))).cast("long").alias("wide_order"), F.sum(scalar.wide_uint_size(c("l_linenumber").cast("long"))).cast("long").alias("wide_line"),
+    )
+
+
+@query("field_ids", """WITH RECURSIVE t AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT r_name FROM region UNION SELECT n_name FROM nation),
+h(name, i, x) AS (SELECT name, 0, 2166136261::BIGINT FROM t UNION ALL SELECT name, i + 1, CAST((xor(x, CAST(ascii(substring(name, i + 1, 1)) AS BIGINT))::HUGEINT * 16777619) % 4294967296 AS BIGINT) FROM h WHERE i < length(name))
+SELECT name, CAST(xor(xor(x, x >> 8), xor(x >> 16, x >> 24)) & 255 AS INTEGER) AS id FROM h WHERE i = length(name)""")
+def field_ids(spark, sf_dir):
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(table(spark, sf_dir, "region").select("r_name")).union(table(spark, sf_dir, "nation").select("n_name")).distinct()
+    return names.select("name", scalar.fnv8(F.col("name")).alias("id"))
+
+
+TARGET = T.StructType([
+    T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_totalprice", T.FloatType(), False), T.StructField("o_custkey", T.IntegerType(), False),
+    T.StructField("o_comment", T.StringType(), False), T.StructField("o_clerk", T.StringType(), True), T.StructField("o_shippriority", T.IntegerType(), False),
+])
+
+
+@query("reconcile_by_name", "SELECT o_orderkey, CAST(o_totalprice AS FLOAT) AS o_totalprice, CAST(o_custkey AS INTEGER) AS o_custkey, '' AS o_comment, CAST(NULL AS VARCHAR) AS o_clerk, 0 AS o_shippriority FROM orders")
+def reconcile_by_name(spark, sf_dir):
+    return reconcile.reconcile(table(spark, sf_dir, "orders"), TARGET)
+
+
+SMALL = T.StructType([T.StructField("l_orderkey", T.ShortType()), T.StructField("l_linenumber", T.ByteType())])
+
+
+@query("checked_narrowing", "SELECT CAST(l_linenumber AS TINYINT) AS l_linenumber, CAST(l_suppkey AS INTEGER) AS l_suppkey FROM lineitem")
+def checked_narrowing(spark, sf_dir):
+    return reconcile.reconcile(table(spark, sf_dir, "lineitem"), T.StructType([T.StructField("l_linenumber", T.ByteType()), T.StructField("l_suppkey", T.IntegerType())]))
+
+
+@query("narrowing_errors", "SELECT o_orderkey, 'o_orderkey' AS field, CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey NOT BETWEEN -128 AND 127 UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT BETWEEN -32768 AND 32767")
+def narrowing_errors(spark, sf_dir):
+    small = T.StructType([T.StructField("o_orderkey", T.ByteType()), T.StructField("o_custkey", T.ShortType())])
+    return reconcile.refused_rows(table(spark, sf_dir, "orders"), small, "o_orderkey")
+
+
+@query("null_to_zero", "SELECT d.doc_id, coalesce(l.quality, 0) AS quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def null_to_zero(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return reconcile.reconcile(rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType(), False), T.StructField("toxic", T.IntegerType())]))
+
+
+@query("schema_versions_union", "SELECT c_custkey, c_name, 0 AS c_nationkey, CAST(NULL AS DOUBLE) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, '', c_nationkey, c_acctbal FROM customer WHERE c_custkey % 2 = 1")
+def schema_versions_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    target = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType(), False), T.StructField("c_nationkey", T.IntegerType(), False), T.StructField("c_acctbal", T.DoubleType())])
+    even, odd = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), c.where("c_custkey % 2 = 1").select("c_custkey", "c_nationkey", "c_acctbal")
+    return reconcile.union_versions([even, odd], target)
+
+
+@query("json_infer_props", """WITH e AS (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events),
+k AS (SELECT event_id, name, json_type(json_extract(props, '$.' || name)) AS t FROM e)
+SELECT name, CASE WHEN bool_or(t = 'DOUBLE') THEN 'double' WHEN bool_or(t IN ('UBIGINT', 'BIGINT')) THEN 'bigint' WHEN bool_or(t = 'VARCHAR') THEN 'string' END AS type,
+  bool_or(t = 'NULL') OR count(DISTINCT event_id) < (SELECT count(*) FROM events) AS nullable, CAST(NULL AS VARCHAR) AS conflict, count(DISTINCT event_id) AS n_records, min(event_id) AS first_record FROM k GROUP BY name""")
+def json_infer_props(spark, sf_dir):
+    return json_rows.infer(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("json_render")
+def json_render(spark, sf_dir):
+    return json_rows.render(table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("json_roundtrip_verify", "SELECT side, n AS rows FROM (SELECT 'only_first' AS side, 0::BIGINT AS n) WHERE n > 0")
+def json_roundtrip_verify(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    text = json_rows.render(e, "event_id", e.columns)
+    back = text.select(F.inline(F.array(F.from_json("json", e.schema))))
+    return json_rows.differences(e, back)
+
+
+@query("map_sorted_entries", "SELECT event_id, props AS entries FROM events")
+def map_sorted_entries(spark, sf_dir):
+    m = F.from_json("props", "map<string,long>")
+    entries = F.map_from_entries(F.array_sort(F.map_entries(m)))
+    return table(spark, sf_dir, "events").select("event_id", F.replace(F.to_json(entries), F.lit(":"), F.lit(": ")).alias("entries"))
+
+
+_WIDTH = "list_max(list_transform(embedding, lambda x: abs(round_even(x::DOUBLE * 1000, 0))))"
+
+
+@query("array_width", f"SELECT vec_id, CASE WHEN m <= 127 THEN 1 WHEN m <= 32767 THEN 2 WHEN m <= 2147483647 THEN 4 ELSE 8 END AS width FROM (SELECT vec_id, {_WIDTH} AS m FROM embeddings)")
+def array_width(spark, sf_dir):
+    m = F.array_max(F.transform("embedding", lambda x: F.abs(F.rint(x.cast("double") * 1000))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(m <= 127, 1).when(m <= 32767, 2).when(m <= 2147483647, 4).otherwise(8).alias("width"))
+
+
+@query("float_array_layout", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, len(embedding) >= 128 AS as_column, 4 * len(embedding) AS plain_bytes FROM embeddings")
+def float_array_layout(spark, sf_dir):
+    n = F.size("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", n.alias("n"), (n >= 128).alias("as_column"), (4 * n).cast("long").alias("plain_bytes"))
+
+
+@query("packed_text_savings")
+def packed_text_savings(spark, sf_dir):
+    ship(spark)
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            packed = [pack5(x) for x in pdf["v"]]
+            assert all(p is None or unpack5(p) == x for p, x in zip(packed, pdf["v"], strict=True))
+            yield pd.DataFrame({"column_name": pdf["column_name"], "plain": [len(x.encode()) for x in pdf["v"]], "packed": [len(x.encode()) if p is None else len(p) for p, x in zip(packed, pdf["v"], strict=True)]})
+
+    c = table(spark, sf_dir, "part").selectExpr("'p_brand' AS column_name", "p_brand AS v").union(table(spark, sf_dir, "nation").selectExpr("'n_name'", "n_name")).union(table(spark, sf_dir, "part").selectExpr("'p_type'", "p_type"))
+    sizes = c.where("v IS NOT NULL").mapInPandas(run, "column_name string, plain long, packed long")
+    return sizes.groupBy("column_name").agg(F.count("*").alias("n"), F.sum("plain").alias("plain"), F.sum("packed").alias("packed"))
+
+
+@query("size_attribution", sql_ints({"lineitem": INTS["lineitem"]}) + "SELECT coalesce(column_name, 'all') AS path, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS cells FROM chosen GROUP BY ROLLUP (column_name)")
+def size_attribution(spark, sf_dir):
+    got = integers.transform_costs(cells_of(spark, sf_dir, {"lineitem": INTS["lineitem"]}))
+    return got.rollup("column_name").agg(F.sum("size").alias("bytes"), F.sum("n").alias("cells")).select(F.coalesce("column_name", F.lit("all")).alias("path"), "bytes", "cells")
+
+
+@query("codec_roundtrip", "SELECT * FROM lineitem")
+def codec_roundtrip(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return chunks.decode_chunks(chunks.encode_chunks(df, ORDER["lineitem"]), df.schema)
+
+
+@query("codec_projection", "SELECT o_orderkey, o_orderpriority FROM orders")
+def codec_projection(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return chunks.decode_chunks(chunks.encode_chunks(df, ORDER["orders"]), df.select("o_orderkey", "o_orderpriority").schema)
+
+
+@query("chunk_sizes")
+def chunk_sizes(spark, sf_dir):
+    got = chunks.encode_chunks(table(spark, sf_dir, "orders"), ORDER["orders"])
+    return got.groupBy("column_name", "kind").agg(F.sum("n").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+@query("corpus_totals")
+def corpus_totals(spark, sf_dir):
+    s = corpus.sales(spark, 2000)
+    line = F.aggregate("detail", F.lit(0).cast("long"), lambda a, x: a + x["quantity"] * x["unit_cents"])
+    return s.agg(F.count("*").alias("sales"), F.count_if(line != F.col("subtotal_cents")).alias("bad_subtotals"), F.count_if(F.col("subtotal_cents") + F.col("tax_cents") != F.col("total_cents")).alias("bad_totals"), F.count_if(F.size("detail") >= 8).alias("tables"))
+
+
+@query("dynamic_values", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_type(props) AS kind FROM events")
+def dynamic_values(spark, sf_dir):
+    v = F.parse_json("props")
+    kind = F.when(F.schema_of_variant(v).startswith("OBJECT"), "OBJECT").otherwise(F.schema_of_variant(v))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), kind.alias("kind"))
