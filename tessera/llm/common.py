@@ -3,37 +3,23 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["POWERS", "SLICE_BYTES", "U64", "Powers", "Scratch", "buckets", "components", "mix", "prefix_hashes", "ship", "slices", "text_bytes"]
 U64 = np.uint64
 #: Bytes of text handled at a time inside one Python worker.
 SLICE_BYTES = 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="tessera-"))
-    with zipfile.ZipFile(f"{folder}/tessera_package.zip", "w") as z:
-        for p in sorted((root / "tessera").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(f"{folder}/tessera_package.zip")
-    sc._tessera_shipped = True
-
-
 class Scratch:
     """Parquet tables below ``spark.checkpoint.dir``, the folder that all executors share.
 
