@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import scalar
+from ..functions import arrays, scalar
 from ..functions.codec import pack5, unpack5
-from ..operators import dictionary, floats, integers, json_rows, nested, reconcile
+from ..operators import dictionary, floats, integers, json_rows, nested, reconcile, schema
 from ..operators.position import cells, with_positions
 from ..session import ship
-from ..sources import chunks, corpus
+from ..sources import chunks, corpus, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -433,3 +433,47 @@ def dynamic_values(spark, sf_dir):
     v = F.parse_json("props")
     kind = F.when(F.schema_of_variant(v).startswith("OBJECT"), "OBJECT").otherwise(F.schema_of_variant(v))
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), kind.alias("kind"))
+
+
+@query("slice_roundtrip", "SELECT conv_id, [CAST(turn AS BIGINT), CAST(length(text) AS BIGINT), -CAST(conv_id AS BIGINT)]::VARCHAR AS back FROM conversations")
+def slice_roundtrip(spark, sf_dir):
+    ship(spark)
+    a = F.array(F.col("turn").cast("long"), F.length("text").cast("long"), -F.col("conv_id").cast("long"))
+    back = arrays.decode_slice(arrays.encode_slice(a))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("["), F.array_join(F.transform(back, lambda x: x.cast("string")), ", "), F.lit("]")).alias("back"))
+
+
+@query("array_conversion_errors", """WITH a AS (SELECT o_orderkey, [CAST(o_custkey AS BIGINT), o_orderkey, o_orderkey * 40] AS a FROM orders)
+SELECT o_orderkey, CASE WHEN a[1] > 32767 THEN 0 WHEN a[2] > 32767 THEN 1 WHEN a[3] > 32767 THEN 2 END::BIGINT AS bad FROM a""")
+def array_conversion_errors(spark, sf_dir):
+    a = F.array(F.col("o_custkey").cast("long"), F.col("o_orderkey"), F.col("o_orderkey") * 40)
+    return table(spark, sf_dir, "orders").select("o_orderkey", arrays.first_unfit(a, "smallint").alias("bad"))
+
+
+@query("duplicate_keys_last_wins", "SELECT conv_id, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
+def duplicate_keys_last_wins(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    entries = F.transform("turns", lambda t: F.struct(F.lit("role").alias("key"), t["role"].alias("value")))
+    return turns.select("conv_id", arrays.last_wins(entries)["role"].alias("last_role"))
+
+
+@query("schema_described", "SELECT CAST(column_index AS INTEGER) AS position, column_name AS name, 'pointer' AS op, true AS nullable FROM duckdb_columns() WHERE table_name = 'orders' AND column_index >= 0")
+def schema_described(spark, sf_dir):
+    return schema.described(spark, table(spark, sf_dir, "orders").schema).select((F.col("position") + 1).alias("position"), "name", "op", "nullable")
+
+
+@query("section_roundtrip")
+def section_roundtrip(spark, sf_dir):
+    out = None
+    for t in ("lineitem", "documents", "embeddings"):
+        back = schema.schema_of(schema.section(table(spark, sf_dir, t).schema))
+        part = schema.described(spark, back).withColumn("table", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("byte_spans", f"WITH {sql_cells({'orders': ['o_orderkey', 'o_custkey']})}, n AS (SELECT column_name, row_group, count(*) AS n FROM cells GROUP BY ALL) SELECT row_group, column_name, n, true AS tiled FROM n")
+def byte_spans(spark, sf_dir):
+    got = chunks.encode_chunks(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    found = spans.inspect(spark, got).groupBy("row_group", "column_name").agg(F.sum(F.col("end") - F.col("start")).alias("bytes"), F.min("start").alias("first"))
+    return got.join(found, ["row_group", "column_name"]).select("row_group", "column_name", "n", ((F.octet_length("payload") == F.col("bytes")) & (F.col("first") == 0)).alias("tiled"))

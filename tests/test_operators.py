@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import codec, scalar
-from tessera.operators import dictionary, floats, integers, json_rows, nested, reconcile
+from tessera.functions import arrays, codec, scalar
+from tessera.operators import dictionary, floats, integers, json_rows, nested, reconcile, schema
 from tessera.operators.position import with_positions
 from tessera.sources import chunks, corpus
 
@@ -192,3 +192,37 @@ def test_corpus_totals(spark):
     s = corpus.sales(spark, 300)
     assert s.where("subtotal_cents + tax_cents <> total_cents").count() == 0
     assert s.exceptAll(corpus.sales(spark, 300)).count() == 0
+
+
+def test_sections_survive_and_damage_is_refused():
+    line = T.StructType([T.StructField("sku", T.StringType(), False), T.StructField("qty", T.IntegerType(), True)])
+    root = T.StructType([T.StructField("id", T.LongType(), False, {"id": 3}), T.StructField("lines", T.ArrayType(line)), T.StructField("first", line, True), T.StructField("tags", T.MapType(T.StringType(), T.LongType()))])
+    data = schema.section(root)
+    back = schema.schema_of(data)
+    assert [(f.name, f.dataType.simpleString(), f.nullable) for f in back.fields] == [(f.name, f.dataType.simpleString(), f.nullable) for f in root.fields]
+    assert schema.field_ids(back) == schema.field_ids(root) and schema.field_ids(root)["id"] == 3
+    for k in range(len(data)):
+        with pytest.raises(schema.Refused):
+            schema.parse(data[:k])
+    assert not schema.transposable(root) and schema.transposable(line)
+    with pytest.raises(schema.Refused):
+        schema.op_of(T.ArrayType(T.ArrayType(T.LongType())))
+    with pytest.raises(schema.Refused):
+        schema.op_of(T.MapType(T.DoubleType(), T.LongType()))
+
+
+def test_ids_probe_past_clashes():
+    many = T.StructType([T.StructField(f"f{k}", T.LongType()) for k in range(300)])
+    ids = schema.field_ids(many)
+    assert len(set(ids.values())) == 300 and max(ids.values()) < schema.MOST_FIELDS
+
+
+def test_arrays(spark):
+    df = spark.createDataFrame([([1, 200, 70000],), ([],), (None,), ([-128],)], "a array<long>")
+    got = df.select(arrays.narrowest(F.col("a")).alias("w"), arrays.first_unfit(F.col("a"), "smallint").alias("bad"), arrays.decode_slice(arrays.encode_slice("a")).alias("back"), "a").collect()
+    assert [r.w for r in got][0] == 4 and got[3].w == 1 and [r.bad for r in got][:2] == [2, None]
+    assert all(r.back == r.a for r in got)
+    with pytest.raises(Exception, match="element 2 is out of range"):
+        df.select(arrays.converted(F.col("a"), "smallint")).collect()
+    floats_ = spark.createDataFrame([([0.1, -0.0, 1e300],)], "a array<double>").select(arrays.decode_float_slice(arrays.encode_float_slice("a")).alias("b")).first().b
+    assert [str(x) for x in floats_] == ["0.1", "-0.0", "1e+300"]
