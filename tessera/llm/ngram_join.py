@@ -67,37 +67,44 @@ class Merger:
             self.up[self.up == max(a, b)] = min(a, b)
 
 
-def divide_skip(lists: list[np.ndarray], threshold: int) -> dict[int, int]:
-    """{member: occurrences} of the members that occur in ``threshold`` of the ascending lists at least."""
-    if len(lists) < threshold or threshold < 1:
-        return {}
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    aside = min(threshold - 1, int(threshold / (MU * np.log2(longest + 1) + 1)), len(lists))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = threshold - aside
-    found: dict[int, int] = {}
-    member, seen = -1, 0
-
-    def settle() -> None:
-        if seen >= need:
-            total = seen
-            for k, one in enumerate(long):
-                if total + len(long) - k < threshold:
-                    return
-                at = int(np.searchsorted(one, member))
-                total += at < len(one) and int(one[at]) == member
-            if total >= threshold:
-                found[member] = total
-
-    for x in heapq.merge(*(one.tolist() for one in short)):
-        if x == member:
-            seen += 1
-        else:
-            settle()
-            member, seen = x, 1
-    settle()
-    return found
+def heap_merge(lists: list[np.ndarray]) -> np.ndarray:
+    """Ascending lists as one, the two shortest first, from a heap by length."""
+    heap = [(len(x), i, x) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        n, i, x = heapq.heappop(heap)
+        m, _, y = heap[0]
+        z = np.concatenate([x, y])
+        z.sort(kind="stable")
+        heapq.heapreplace(heap, (n + m, i, z))
+    return heap[0][2] if heap else np.zeros(0, np.int64)
+
+
+def divide_skip(member: np.ndarray, length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members that occur in ``threshold`` lists at least, and in how many.
+
+    ``member`` has the ascending lists end to end, ``length`` their lengths.
+    """
+    none = np.zeros(0, np.int64)
+    filled = int((length > 0).sum())
+    if filled < threshold or threshold < 1:
+        return none, none
+    order = np.argsort(length, kind="stable")[len(length) - filled :]
+    stop = np.cumsum(length)
+    aside = min(threshold - 1, int(threshold / (MU * np.log2(length.max() + 1) + 1)))
+    short, long = order[: filled - aside], order[filled - aside :]
+    found, seen = runs(heap_merge([member[stop[i] - length[i] : stop[i]] for i in short.tolist()]))
+    may = seen >= threshold - aside
+    found, seen = found[may], seen[may]
+    if len(long) and len(found):
+        # binary search of every possible member in every long list at once
+        span = int(member.max()) + 1
+        place = np.repeat(np.arange(len(length)) * span, length) + member
+        want = np.sort(long)[:, None] * span + found
+        at = np.minimum(np.searchsorted(place, want), len(place) - 1)
+        seen = seen + (place[at] == want).sum(0)
+    may = seen >= threshold
+    return found[may], seen[may]
 
 
 class Index:
@@ -110,16 +117,22 @@ class Index:
         order = np.argsort(token, kind="stable")
         token, self.member = token[order], member[order]
         edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        self.token, self.start, self.stop = token[edge], edge, np.r_[edge[1:], len(token)]
+        self.token, self.start, self.count = token[edge], edge, np.diff(np.r_[edge, len(token)])
 
-    def search(self, query: np.ndarray, skip: np.ndarray, percent: int) -> list[int]:
+    def search(self, query: np.ndarray, skip: np.ndarray, percent: int) -> np.ndarray:
         """Members that link with ``query``, but for those in ``skip``."""
-        at = np.searchsorted(self.token, query)
-        at = at[at < len(self.token)] if len(self.token) else at[:0]
-        hit = at[np.isin(self.token[at], query)]
-        lists = [one for i in hit if len(one := self.member[self.start[i] : self.stop[i]][~skip[self.member[self.start[i] : self.stop[i]]]])]
+        none = np.zeros(0, np.int64)
         threshold = int(least_overlap(len(query), percent))
-        return [m for m, both in divide_skip(lists, threshold).items() if 100 * both >= percent * (len(query) + int(self.size[m]) - both)]
+        at = np.minimum(np.searchsorted(self.token, query), max(0, len(self.token) - 1))
+        hit = at[self.token[at] == query] if len(self.token) else none
+        if len(hit) < threshold:
+            return none
+        count = self.count[hit]
+        which = np.repeat(np.arange(len(hit)), count)
+        member = self.member[np.arange(len(which)) - (np.cumsum(count) - count)[which] + self.start[hit][which]]
+        open_ = ~skip[member]
+        found, both = divide_skip(member[open_], np.bincount(which[open_], minlength=len(hit)), threshold)
+        return found[100 * both >= percent * (len(query) + self.size[found] - both)]
 
 
 def link(index: Index, sets: list[np.ndarray], merged: Merger, queries: list[int], percent: int) -> list[tuple[int, int]]:
@@ -129,7 +142,7 @@ def link(index: Index, sets: list[np.ndarray], merged: Merger, queries: list[int
         skip = merged.same(q)
         if skip.all():
             continue
-        for m in index.search(sets[q], skip[: len(index.size)], percent):
+        for m in index.search(sets[q], skip[: len(index.size)], percent).tolist():
             links.append((q, m))
             merged.join(q, m)
     return links
@@ -158,13 +171,29 @@ def signatures(docs: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     for p in range(parts):
                         if cut[p] < cut[p + 1]:
                             own = order[cut[p] : cut[p + 1]]
-                            who, count = runs(owner[own])
-                            rows.append((p, None, len(own), np.r_[who, count.astype(U64)].tobytes(), token[own].tobytes()))
+                            rows.append((p, None, len(own), *packed(token[own], owner[own])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, n long, key binary, tokens binary")
 
 
+def packed(token: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
+    """Owners with their numbers of tokens (10 bytes each), and 48 bits of each token: one more token in common only adds a candidate."""
+    who, count = runs(owner)
+    more = -(-count // 0xFFFF)
+    who, last = np.repeat(who, more), np.cumsum(more) - 1
+    n = np.full(len(who), 0xFFFF, np.uint16)
+    n[last] = count - (more - 1) * 0xFFFF
+    return who.tobytes() + n.tobytes(), token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(key: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(key) // 10
+    wide = np.zeros((len(tokens) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(key, U64, n), np.frombuffer(key, np.uint16, n, 8 * n).astype(np.int64))
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of runs of equal neighbours."""
     if not len(x):
@@ -175,13 +204,8 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def lead(pdf: pd.DataFrame) -> pd.DataFrame:
     """One part of the index: how many of a class's prefix shingles are in lists that a leader leads."""
-    token, owner = [], []
-    for key, tokens in zip(pdf["key"], pdf["tokens"], strict=True):
-        who = np.frombuffer(key, U64)
-        half = len(who) // 2
-        token.append(np.frombuffer(tokens, U64))
-        owner.append(np.repeat(who[:half], who[half:].astype(np.int64)))
-    token, owner = np.concatenate(token), np.concatenate(owner)
+    pairs = [unpacked(k, t) for k, t in zip(pdf["key"], pdf["tokens"], strict=True)]
+    token, owner = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
     keep = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
@@ -288,7 +312,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     between = between.select("block", "chunk", "rep", "component", "shingles", "asks").groupBy("block", "chunk").applyInPandas(search_between(percent), "a long, b long")
     found = scratch.save(between.distinct(), "between")
     if found.limit(1).count():
-        linked = components(scratch, edges.unionByName(found), "second")
+        linked = components(scratch, linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "second")
     final = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     scratch.drop("sets", "members")
     out = members.join(final, "key", "left").select(

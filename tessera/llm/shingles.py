@@ -42,7 +42,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int = 5) -> list[np.nd
     first = np.searchsorted(text, np.arange(n + 1))
     key = np.zeros(max(0, len(h) - words + 1), U64)
     for j in range(words):
-        key += mix(h[j : j + len(key)] + ODD[j % 5] * U64(j + 1)) * ODD[(j + 1) % 5]
+        key += mix(h[j : j + len(key)] + U64((int(ODD[j % 5]) * (j + 1)) % (1 << 64))) * ODD[(j + 1) % 5]
     key = mix(key)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
