@@ -44,7 +44,9 @@ SUBSTITUTE, LEAVE_OUT, REPEAT, DROP = 0.7, 0.4, 0.2, 6.0
 
 SIGNS = "".join(re.escape(c) for c in STANDS_FOR if not c.isdigit() and c != " ")
 SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_][ .\-_*]{{1,2}}){{2,}}[^\W_](?![^\W_])")
-DISGUISED = re.compile(rf"(?=[{SIGNS}\d]*[^\W\d_])[^\W_{SIGNS}]*(?:[^\W\d_][{SIGNS}\d]+|[\d@$!|+€]+)(?:[^\W_]|[{SIGNS}])*|[^\W_]*([^\W\d_])\1\1[^\W_]*")
+DISGUISED = re.compile(
+    rf"(?<![^\W_])(?:(?=[{SIGNS}\d]{{0,64}}[^\W\d_])[^\W_]{{0,64}}?(?:[^\W\d_][{SIGNS}\d]|[\d@$!|+€])(?:[^\W_]|[{SIGNS}]){{0,64}}|[^\W_]{{0,64}}?([^\W\d_])\1\1[^\W_]{{0,64}})"
+)
 NOISY = np.zeros(256, bool)
 NOISY[[ord(c) for c in "0123456789@$!|+(*.-_%#&'~^/\\"]] = True
 ALPHA = np.zeros(256, bool)
