@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     cut = scratch.save(pieces(docs, tokenizer, capacity), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     plan = Plan(histogram, capacity)
-    table = {n: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for n, rows in plan.slots.items()}
+    table = np.array(sorted((n << 40 | first, base - first, offset) for n, rows in plan.slots.items() for first, _, base, offset in rows), np.int64).reshape(-1, 3)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     of = max(1, -(-sum(histogram.values()) // bucket_rows))
@@ -198,13 +198,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf["sequence_id"] = pdf["offset"] = np.int64(0)
-            for length, rows in pdf.groupby("length"):
-                first, _, base, offset = shared.value[length]
-                rank = rows["rank"].to_numpy()
-                i = np.searchsorted(first, rank, "right") - 1
-                pdf.loc[rows.index, "sequence_id"] = base[i] + rank - first[i]
-                pdf.loc[rows.index, "offset"] = offset[i]
+            rank = pdf["rank"].to_numpy()
+            slot = shared.value[np.searchsorted(shared.value[:, 0], (pdf["length"].to_numpy() << 40) + rank, "right") - 1]
+            pdf["sequence_id"], pdf["offset"] = slot[:, 1] + rank, slot[:, 2]
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
