@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ CLASS[65:91] = np.arange(1, 27)
 CLASS[128:] = 27
 
 
+@lru_cache(10_000)
 def letter_class(c: str) -> int:
     c = unicodedata.normalize("NFD", c)[0].lower()
     return ord(c) - 96 if "a" <= c <= "z" else 27
@@ -148,20 +150,29 @@ class Channel:
         return " ".join(out)
 
 
-def looks_noisy(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which texts may hold a disguised word: a sign or digit by a letter, three equal letters, or letters on their own."""
+def suspects(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words that may be disguised - a sign or digit before a letter, or three equal letters - and letters on their own put together; the text of each."""
     if len(data) < 3:
-        return np.zeros(len(at) - 1, bool)
-    a, b, c = data[:-2], data[1:-1], data[2:]
-    alpha = ALPHA[data]
-    noisy = NOISY[data]
-    hit = (noisy[1:-1] & alpha[2:]) | (noisy[:-2] & alpha[1:-1] & noisy[2:]) | (alpha[1:-1] & (LOWER[a] == LOWER[b]) & (LOWER[b] == LOWER[c]))
-    lone = (alpha[1:-1]) & ~alpha[:-2] & ~alpha[2:]
-    hit[:-2] |= lone[:-2] & lone[2:]
+        return [], np.zeros(0, np.int64)
+    start, end, text = word_spans(data, at)
+    alpha, noisy, low = ALPHA[data], NOISY[data], LOWER[data]
+    hit = (noisy[:-2] & alpha[1:-1]) | (alpha[1:-1] & noisy[2:] & noisy[:-2]) | (noisy[1:-1] & alpha[2:]) | (alpha[1:-1] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]))
     where = np.flatnonzero(hit) + 1
-    out = np.zeros(len(at) - 1, bool)
-    out[np.minimum(np.searchsorted(at, where, "right") - 1, len(out) - 1)] = True
-    return out
+    word = np.searchsorted(start, where, "right") - 1
+    word = np.unique(word[(word >= 0)])
+    word = word[where.searchsorted(end[word]) > where.searchsorted(start[word])] if len(word) else word
+    size = end - start
+    lone = alpha[start] & ((size == 1) | (size == 2) & noisy[np.minimum(start + 1, len(data) - 1)])
+    joined = lone[1:] & lone[:-1] & (text[1:] == text[:-1])
+    edge = np.flatnonzero(np.diff(np.r_[0, joined.astype(np.int8), 0]))
+    raw = data.tobytes()
+    out = [raw[a:b].decode(errors="ignore") for a, b in zip(start[word].tolist(), end[word].tolist(), strict=True)]
+    owner = text[word].tolist()
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if b - a >= 2:
+            out.append(raw[start[a] : end[b]].decode(errors="ignore"))
+            owner.append(int(text[a]))
+    return out, np.array(owner, np.int64)
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,16 +201,14 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def worded(part: pa.RecordBatch, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """:func:`features` of the texts of a batch with their restored words after them."""
-    column = part.column("text")
-    data, at = text_bytes(column)
-    noisy = np.flatnonzero(looks_noisy(data, at))
+    data, at = text_bytes(part.column("text"))
     bins, text = features(data, at)
-    if not len(noisy):
+    words, owner = suspects(data, at)
+    if not words:
         return bins, text
-    more = pa.array([channel.restored(t or "") for t in column.take(pa.array(noisy)).to_pylist()], pa.string())
-    bins2, text2 = features(*text_bytes(more))
-    order = np.argsort(np.r_[text, noisy[text2]], kind="stable")
-    return np.concatenate([bins, bins2])[order], np.r_[text, noisy[text2]][order]
+    bins2, text2 = features(*text_bytes(pa.array([channel.restored(w) for w in words], pa.string())))
+    order = np.argsort(np.r_[text, owner[text2]], kind="stable")
+    return np.concatenate([bins, bins2])[order], np.r_[text, owner[text2]][order]
 
 
 def evidence(bins: np.ndarray, text: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
