@@ -2,7 +2,7 @@
 
 Equal strings must meet in one suffix array although texts are many and apart:
 
-1. The gram of least hash (the leftmost of equal ones) among the 16-byte grams of a ``length``-byte
+1. The gram of least hash (the leftmost of equal ones) among the 48-byte grams of a ``length``-byte
    window is its anchor. Equal windows have equal anchors, neighbouring windows mostly the same
    one; windows in a row with one anchor are a run. An anchor met in one place only can't belong to a repeat: its runs are done with.
 2. The bytes of the other runs go to the shard of their anchor, equal ones once with their
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import POWERS, U64, Powers, Scratch, buckets, mix, prefix_hashes, slices, text_bytes
 from .suffix_array import repeated_starts
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 48
 #: Places above which an anchor is told apart by fingerprints; bytes of a shard.
 HOT, SHARD_BYTES = 256, 400_000
 #: The part of a gram's hash that ranks it; the leftmost of equal ones is the anchor.
@@ -55,7 +55,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of each run, in order; windows lie within one text. ``length`` is 16 to 256."""
+    """(anchor, first window, windows) of each run, in order; windows lie within one text. ``length`` is 48 to 256."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(U64), none, none
@@ -105,13 +105,13 @@ def _anchors(parts: int, length: int):
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+def _shared(pdf: pd.DataFrame, hot_places: int) -> pd.DataFrame:
     """The runs whose anchor is in two places, by text: those of usual anchors and those of hot ones."""
     rows = np.unique(np.concatenate([np.frombuffer(b, U64).reshape(-1, 3) for b in pdf["rows"]]), axis=0) if len(pdf) else np.zeros((0, 3), U64)
     edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
     size = np.diff(np.r_[edge, len(rows)])
     places = np.repeat(size, size)
-    rows, hot = rows[places > 1], (places > HOT)[places > 1]
+    rows, hot = rows[places > 1], (places > hot_places)[places > 1]
     order = np.lexsort((rows[:, 2], hot, rows[:, 1]))
     rows, hot = rows[order], hot[order]
     cut = np.flatnonzero(np.r_[True, (rows[1:, 1] != rows[:-1, 1]) | (hot[1:] != hot[:-1])]) if len(rows) else np.zeros(0, np.int64)
@@ -196,13 +196,27 @@ def _windows(key: np.ndarray, window: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": owner[edge].view(np.int64), "windows": [pairs[a:b].tobytes() for a, b in zip(edge, np.r_[edge[1:], len(owner)], strict=True)]})
 
 
-def _repeated_prints(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = np.concatenate([np.frombuffer(b, U64).reshape(-1, 5) for b in pdf["bytes"]])
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    edge = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
-    size = np.diff(np.r_[edge, len(rows)])
-    again = np.repeat(size > 1, size) | (rows[:, 4] > 0)
-    return _windows(rows[again, 2], rows[again, 3])
+def _repeated_prints(parts: int):
+    """Step 3 for one part of the fingerprints: (to, places), the places that repeat by the part of their text's key."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(b, U64).reshape(-1, 5) for b in pdf["bytes"]])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        edge = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+        size = np.diff(np.r_[edge, len(rows)])
+        rows = rows[np.repeat(size > 1, size) | (rows[:, 4] > 0)][:, 2:4]
+        to = ((rows[:, 0] >> U64(20)) % U64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pd.DataFrame({"to": some.astype(np.int32), "places": [rows[order[cut[p] : cut[p + 1]]].tobytes() for p in some]})
+
+    return run
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = np.concatenate([np.frombuffer(b, U64).reshape(-1, 2) for b in pdf["places"]])
+    return _windows(rows[:, 0], rows[:, 1])
 
 
 def _marked(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,14 +246,14 @@ def _shard(length: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Scratch]:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_places: int = HOT) -> tuple[DataFrame, Scratch]:
     """(key, copies, windows): for each text that has any, its repeated windows as a list of blobs of (first, number) pairs."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), buckets(spark)
     base = keyed(docs)
     copies = scratch.save(base.groupBy("key", "sha").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "copies")
     blobs = base.select("key", "text").mapInArrow(_anchors(parts, length), "part int, rows binary")
-    runs = blobs.groupBy("part").applyInPandas(_shared, "key long, hot boolean, runs binary")
+    runs = blobs.groupBy("part").applyInPandas(lambda pdf: _shared(pdf, hot_places), "key long, hot boolean, runs binary")
     blob = lambda hot: F.collect_list(F.when(F.col("hot") == hot, F.col("runs")))
     runs = scratch.save(runs.groupBy("key").agg(blob(False).alias("runs"), blob(True).alias("hot")).join(copies, "key"), "runs")
 
@@ -257,9 +271,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
         for pdf in pdfs:
             yield pd.DataFrame({"key": pdf["key"], "windows": [(np.frombuffer(h, np.int64).reshape(-1, 2) + [a, 0]).astype(np.int64).tobytes() for a, h in zip(pdf["first"], pdf["hits"], strict=True)]})
 
-    hot = found.where("kind = 1")
+    hot = found.where("kind = 1").select("part", "bytes")
     windows = back.mapInPandas(shift, "key long, windows binary")
-    windows = windows.unionByName(hot.where("part >= 0").groupBy("part").applyInPandas(_repeated_prints, "key long, windows binary"))
+    windows = windows.unionByName(hot.where("part >= 0").groupBy("part").applyInPandas(_repeated_prints(parts), "to int, places binary").groupBy("to").applyInPandas(_gathered, "key long, windows binary"))
     windows = windows.unionByName(hot.where("part < 0").select("bytes").mapInPandas(_marked, "key long, windows binary"))
     gathered = windows.groupBy("key").agg(F.collect_list("windows").alias("windows"))
     out = scratch.save(copies.join(gathered, "key", "left").where("copies > 1 OR windows IS NOT NULL").select("key", "copies", "windows"), "windows")
@@ -281,7 +295,7 @@ def spans(n: int, copies: int | None, windows: list[bytes] | None, length: int)
     return np.column_stack([start[new], end[np.r_[new[1:], True]]])
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """Each row's doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and the columns ``carry``.
 
     A text is its UTF-8 bytes, null as empty. A byte goes if a string of ``length`` bytes covers it that
@@ -289,7 +303,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] =
     Rows with null or repeated doc_id are texts like others, so equal rows of ``length`` bytes or more lose all;
     an empty table gives an empty result. Other columns are not read.
     """
-    table, _ = repeated_windows(docs, length)
+    table, _ = repeated_windows(docs, length, hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry], text.alias("text_"), F.xxhash64(F.unhex(F.sha2(text, 256))).alias("key"))
     rows = rows.join(table, "key", "left").drop("key")
