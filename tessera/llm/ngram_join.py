@@ -184,14 +184,23 @@ def packed(token: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
     who, last = np.repeat(who, more), np.cumsum(more) - 1
     n = np.full(len(who), 0xFFFF, np.uint16)
     n[last] = count - (more - 1) * 0xFFFF
-    return who.tobytes() + n.tobytes(), token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return who.tobytes() + n.tobytes(), shortened(token)
 
 
-def unpacked(key: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(key) // 10
+def shortened(token: np.ndarray) -> bytes:
+    """48 bits of each hash."""
+    return np.ascontiguousarray(token, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widened(tokens: bytes) -> np.ndarray:
     wide = np.zeros((len(tokens) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel(), np.repeat(np.frombuffer(key, U64, n), np.frombuffer(key, np.uint16, n, 8 * n).astype(np.int64))
+    return wide.view("<u8").ravel()
+
+
+def unpacked(key: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(key) // 10
+    return widened(tokens), np.repeat(np.frombuffer(key, U64, n), np.frombuffer(key, np.uint16, n, 8 * n).astype(np.int64))
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,13 +231,13 @@ def lead(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(rep, key, shingles) of each row."""
+    """(rep, key, shingles) of each row; 48 bits of a shingle's hash tell it from the few others of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(*text_bytes(piece.column("text")), words)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([shortened(s) for s in sets], pa.binary())], ["rep", "key", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, key binary, shingles binary")
 
@@ -238,7 +247,7 @@ def search_chunk(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values(["leads", "rep"], ascending=[False, True])
-        sets = [np.frombuffer(b, U64) for b in pdf["shingles"]]
+        sets = [widened(b) for b in pdf["shingles"]]
         rep = pdf["rep"].to_numpy()
         merged = Merger(np.arange(len(sets)))
         links = link(Index(sets), sets, merged, list(range(len(sets))), percent)
@@ -252,7 +261,7 @@ def search_between(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "rep"], ascending=[True, True])
-        sets = [np.frombuffer(b, U64) for b in pdf["shingles"]]
+        sets = [widened(b) for b in pdf["shingles"]]
         rep, own = pdf["rep"].to_numpy(), int((~pdf["asks"]).sum())
         merged = Merger(pdf["component"].to_numpy())
         links = link(Index(sets[:own]), sets, merged, list(range(own, len(sets))), percent)
@@ -275,7 +284,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), buckets(spark)
     signed = scratch.save(signatures(docs, parts, words, percent), "signed")
-    members = signed.where("part = -1").select("doc_id", "n", "key")
+    members = scratch.save(signed.where("part = -1").select("doc_id", "n", "key"), "documents")
     classes = scratch.save(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
     shared = signed.where("part >= 0").groupBy("part").applyInPandas(lead, "class long, block long, n_tokens long")
@@ -292,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = sizes.select("block", F.ceil(F.col("m") / chunk).alias("chunks"), F.col("first.rep").alias("leader"))
     joined = joined.join(sizes, "block").withColumn("leads", F.col("rep") == F.col("leader")).drop("leader", "n")
     joined = scratch.save(joined, "members")
-    scratch.drop("blocks")
+    scratch.drop("blocks", "signed")
 
     wanted = joined.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
@@ -320,7 +329,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
     )
     out = scratch.save(out, "result")
-    scratch.drop("signed", "classes", "edges", "between")
+    scratch.drop("documents", "classes", "edges", "between")
     return out
 
 
