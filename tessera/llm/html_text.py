@@ -9,6 +9,7 @@ boxes whose class says advert, notice or comments) is bad from the start.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -166,21 +167,22 @@ def labels(found: list[Block], texts: list[str]) -> list[bool]:
         else:
             first.append("open" if len(text) >= LONG or density else "bad")
     decided = [i for i, x in enumerate(first) if x != "open"]
+    # a notice or an advert within the article says nothing about the blocks beside it
+    within = [i for i in decided if found[i].inside and not found[i].bad]
     out = [x == "good" for x in first]
     if not decided:
         return [structured or sum(map(len, texts)) >= LONG] * len(first)
-    k = 0
     for i, x in enumerate(first):
         if x != "open":
             continue
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        before = first[decided[k - 1]] if k else None
-        after = first[decided[k]] if k < len(decided) else None
-        if found[i].heading:
-            out[i] = "good" in (after, before) if found[i].inside else after == "good"
-        elif found[i].inside:
-            out[i] = "good" in (before, after)
+        near = within if found[i].inside else decided
+        k = bisect(near, i)
+        before = first[near[k - 1]] if k else None
+        after = first[near[k]] if k < len(near) else None
+        if found[i].inside:
+            out[i] = not near or "good" in (before, after)
+        elif found[i].heading:
+            out[i] = after == "good"
         else:
             out[i] = before == "good" and after == "good" if None not in (before, after) else "good" in (before, after) and len(texts[i]) >= SHORT
     return out

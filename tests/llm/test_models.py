@@ -106,7 +106,7 @@ def test_pipeline_stages(spark, sf_dir):
     n = docs.count()
     for name, stage in c.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        docs = spark.createDataFrame(docs.toPandas().astype(object).where(lambda d: d.notna(), None), docs.schema)
+        docs = spark.createDataFrame([tuple(r) for r in docs.collect()], docs.schema)
         assert tuple(docs.columns) == c.COLUMNS
         assert (left := docs.count()) <= n
         n = left

@@ -11,7 +11,7 @@ def vectors():
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=6).round(3).tolist()) for i in range(300)]
     rows += [(300 + i, rows[i % 3][1]) for i in range(40)]  # ties
-    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0, 0, 0, 0]), (403, [math.nan] * 6), (404, [math.inf] * 6), (405, []), (None, [1.0] * 6), (406, [5.0, 5.0])]
+    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [math.nan] * 6), (404, [math.inf] * 6), (405, []), (None, [1.0] * 6), (406, [5.0, 5.0])]
     return rows
 
 
