@@ -46,10 +46,19 @@ SUBSTITUTE, LEAVE_OUT, REPEAT, DROP = 0.7, 0.4, 0.2, 6.0
 SIGNS = "".join(re.escape(c) for c in STANDS_FOR if not c.isdigit() and c != " ")
 SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_][ .\-_*]{{1,2}}){{2,}}[^\W_](?![^\W_])")
 DISGUISED = re.compile(
-    rf"(?<![^\W_])(?:(?=[{SIGNS}\d]{{0,64}}[^\W\d_])[^\W_]{{0,64}}?(?:[^\W\d_][{SIGNS}\d]|[\d@$!|+€])(?:[^\W_]|[{SIGNS}]){{0,64}}|[^\W_]{{0,64}}?([^\W\d_])\1\1[^\W_]{{0,64}})"
+    rf"(?<![^\W_])(?:(?=[{SIGNS}\d]{{0,64}}[^\W\d_])[^\W_]{{0,64}}?(?:[^\W\d_][{SIGNS}\d]|[\d@$!|+€£¡(])(?:[^\W_]|[{SIGNS}]){{0,64}}|[^\W_]{{0,64}}?([^\W\d_])\1\1[^\W_]{{0,64}})"
 )
-NOISY = np.zeros(256, bool)
-NOISY[[ord(c) for c in "0123456789@$!|+(*.-_%#&'~^/\\"]] = True
+DOUBLED = re.compile(r"(.)\1", re.I)
+#: Bytes of signs that stand for a letter, of signs that stand for none, of separators in SPACED, of ASCII letters and digits.
+STANDS, JOINS, APART, PLAIN = np.zeros((4, 256), bool)
+STANDS[[ord(c) for c, s in STANDS_FOR.items() if s and c.isascii()]] = True
+JOINS[[ord(c) for c, s in STANDS_FOR.items() if not s and c != " "]] = True
+APART[[ord(c) for c in " .-_*"]] = True
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = True
+#: First bytes of characters of two bytes that are letters or no part of words: Latin, Greek and Cyrillic. All others may be signs or digits.
+TWO, OTHER = np.zeros((2, 256), bool)
+TWO[0xC3:0xCA] = TWO[0xCE:0xD4] = True
+OTHER[0xC2:] = ~TWO[0xC2:]
 ALPHA = np.zeros(256, bool)
 ALPHA[65:91] = ALPHA[97:123] = ALPHA[128:] = True
 CLASS = np.zeros(256, np.int64)
@@ -141,7 +150,8 @@ class Channel:
             out.append(self.viterbi(m[0]) if len(m[0]) > 64 else self.restore(m[0]))
         for m in DISGUISED.finditer(text):
             w = m[0].strip(".,-_'*%#&~^/\\ ")
-            if 2 < len(w) <= 64 and not w.isalpha() or len(set(w)) < len(w) - 1 and 2 < len(w) <= 64:
+            # letters alone without a doubled one are the written word
+            if 2 < len(w) <= 64 and (not w.isalpha() or len(set(w)) < len(w) - 1 and DOUBLED.search(w)):
                 w = self.restore(w)
                 out.append(w)
                 squeezed = re.sub(r"(.)\1+", r"\1", w)
@@ -150,29 +160,65 @@ class Channel:
         return " ".join(out)
 
 
+def apart(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of letters or digits that may be inner ones of a match of SPACED: separators around them, then characters that may be on their own."""
+    d = np.concatenate([np.zeros(4, np.uint8), data, np.zeros(8, np.uint8)])
+    gap = APART[d]
+    where = np.flatnonzero(PLAIN[d[1:-1]] & gap[:-2] & gap[2:]) + 1
+    size = np.ones(len(where), np.int64)
+    high = np.flatnonzero(gap[:-1] & (d[1:] >= 0xC2)) + 1
+    if len(high):
+        long = 2 + (d[high] >= 0xE0) + (d[high] >= 0xF0)
+        fits = gap[high + long]
+        where, size = np.r_[where, high[fits]], np.r_[size, long[fits]]
+    before, after = where - 2 - gap[where - 2], where + size + 1 + gap[where + size + 1]
+    edge = np.zeros(len(d) + 1, bool)
+    edge[at + 4] = True
+    own = (PLAIN[d[before]] & (~PLAIN[d[before - 1]] | edge[before])) | (d[before] >= 128)
+    own &= (PLAIN[d[after]] & (~PLAIN[d[after + 1]] | edge[after + 1])) | (d[after] >= 128)
+    return np.sort(where[own]) - 4
+
+
 def suspects(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Words that may be disguised - a sign or digit before a letter, or three equal letters - and letters on their own put together; the text of each."""
-    if len(data) < 3:
-        return [], np.zeros(0, np.int64)
+    """All words in which DISGUISED may find something, and runs of words in which SPACED may; the text of each.
+
+    Such words have letters and a sign or digit that stands for one, a sign before a letter, a doubled letter and
+    a sign, three equal letters, or characters that these bytes can't tell.
+    """
     start, end, text = word_spans(data, at)
-    alpha, noisy, low = ALPHA[data], NOISY[data], LOWER[data]
-    hit = (noisy[:-2] & alpha[1:-1]) | (alpha[1:-1] & noisy[2:] & noisy[:-2]) | (noisy[1:-1] & alpha[2:]) | (alpha[1:-1] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]))
-    where = np.flatnonzero(hit) + 1
-    word = np.searchsorted(start, where, "right") - 1
-    word = np.unique(word[(word >= 0)])
-    word = word[where.searchsorted(end[word]) > where.searchsorted(start[word])] if len(word) else word
-    size = end - start
-    lone = alpha[start] & ((size == 1) | (size == 2) & noisy[np.minimum(start + 1, len(data) - 1)])
-    joined = lone[1:] & lone[:-1] & (text[1:] == text[:-1])
-    edge = np.flatnonzero(np.diff(np.r_[0, joined.astype(np.int8), 0]))
+    if len(data) < 3 or not len(start):
+        return [], np.zeros(0, np.int64)
+
+    def having(hit: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), bool)
+        out[np.maximum(start.searchsorted(np.flatnonzero(hit), "right") - 1, 0)] = True
+        return out
+
+    alpha, joins, low = ALPHA[data], JOINS[data], LOWER[data]
+    letters = np.r_[0, np.cumsum(alpha, dtype=np.int64)]
+    equal = alpha[1:] & (low[1:] == low[:-1])
+    odd = having(STANDS[data]) & (letters[end] > letters[start])
+    odd |= having((joins[:-1] & alpha[1:]) | np.r_[equal[1:] & equal[:-1], False])
+    twice = having(equal)
+    if (data >= 128).any():
+        odd |= having(OTHER[data])
+        lead = np.flatnonzero(TWO[data[:-3]] & TWO[data[2:-1]])
+        twice[start.searchsorted(lead, "right") - 1] = True
+        lead = lead[lead < len(data) - 5]
+        same = (data[lead] == data[lead + 2]) & (data[lead] == data[lead + 4]) & (data[lead + 1] == data[lead + 3]) & (data[lead + 1] == data[lead + 5])
+        odd[start.searchsorted(lead[same], "right") - 1] = True
+    odd |= twice & having(joins)
+    # a run has the words of inner letters and those beside them
+    inner = np.unique(start.searchsorted(apart(data, at), "right") - 1)
+    run = np.zeros(len(start) + 2, bool)
+    run[inner] = run[inner + 1] = run[inner + 2] = True
+    run = run[1:-1]
+    odd &= ~run
+    first = np.flatnonzero(run & np.r_[True, ~run[:-1] | (text[1:] != text[:-1])])
+    last = np.flatnonzero(run & np.r_[~run[1:] | (text[1:] != text[:-1]), True])
+    a, b = np.r_[np.flatnonzero(odd), first], np.r_[np.flatnonzero(odd), last]
     raw = data.tobytes()
-    out = [raw[a:b].decode(errors="ignore") for a, b in zip(start[word].tolist(), end[word].tolist(), strict=True)]
-    owner = text[word].tolist()
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if b - a >= 2:
-            out.append(raw[start[a] : end[b]].decode(errors="ignore"))
-            owner.append(int(text[a]))
-    return out, np.array(owner, np.int64)
+    return [raw[s:e].decode(errors="ignore") for s, e in zip(start[a].tolist(), end[b].tolist(), strict=True)], text[a]
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

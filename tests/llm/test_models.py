@@ -1,7 +1,10 @@
 """Pages, pieces, toxicity and the pipeline."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import html_text, sentencepieces, toxicity
@@ -85,6 +88,47 @@ def test_disguises_are_undone(word):
     assert plain[word] in toxicity.Channel(counts).restored(f"so {word} there").split()
 
 
+@pytest.fixture(scope="module")
+def channel():
+    counts = np.zeros((28, 28, 28))
+    for w in ("moron idiot loser trash shit sunde pathetic clown ass " * 50 + "the and of tion nd er on dit hat " * 40).split():
+        codes = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            counts[a, b, c] += 1
+    return toxicity.Channel(counts)
+
+
+def sought(channel, texts):
+    """Restored words of each text by way of the words that bytes point out."""
+    out = [[] for _ in texts]
+    for w, i in zip(*toxicity.suspects(*toxicity.text_bytes(pa.array(texts, pa.string()))), strict=True):
+        out[i] += channel.restored(w).split()
+    return out
+
+
+DISGUISES = {"idio7": "idiot", "shi7": "shit", "as5": "ass", "a$$": "ass", "id€ot": "ideot", "£oser": "loser", "¡diot": "idiot", "(lown": "clown", "1 d 1 0 t": "idiot", "i d 1 0 t": "idiot", "s ü n d e": "sünde", "д у р а к": "дурак", "“i d i o t”": "idiot", "i. d. i. o. t": "idiot", "дууурак": "дурак"}
+
+
+def test_bytes_point_out_every_disguise(channel):
+    texts = [f"so {w} there" for w in DISGUISES] + list(DISGUISES)
+    for want, got in zip([*DISGUISES.values()] * 2, sought(channel, texts), strict=True):
+        assert want in got
+
+
+@given(st.lists(st.text(st.sampled_from("aAiIto15$!€£¡(.,-_*'/éÉдуД²٣“— \n\t"), max_size=24), min_size=1, max_size=4))
+@settings(max_examples=1500, deadline=None)
+def test_bytes_lose_nothing(channel, texts):
+    assert [sorted(x) for x in sought(channel, texts)] == [sorted(channel.restored(t).split()) for t in texts]
+
+
+def test_disguises_are_scored(spark):
+    plain = [(k, f"{'of the and tion ' * 3}{'idiot' if k % 3 == 0 else 'sunny'} here", int(k % 3 == 0)) for k in range(600)]
+    odd = [(1000 + k, f"the tion of {w} here") for k, w in enumerate(w for w, p in DISGUISES.items() if p == "idiot")]
+    docs = spark.createDataFrame([r[:2] for r in plain] + odd, "doc_id long, text string")
+    got = toxicity.score(docs, spark.createDataFrame([r[::2] for r in plain], "doc_id long, toxic int")).where("doc_id >= 1000").collect()
+    assert len(got) == len(odd) and all(r.predicted for r in got)
+
+
 def test_held_out_scores(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     words = ["vile", "rotten"]
