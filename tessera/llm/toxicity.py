@@ -48,6 +48,11 @@ SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_][ .\-_*]{{1,2}}){{2,}}[^\W_](?![^\W_]
 DISGUISED = re.compile(
     rf"(?<![^\W_])(?:(?=[{SIGNS}\d]{{0,64}}[^\W\d_])[^\W_]{{0,64}}?(?:[^\W\d_][{SIGNS}\d]|[\d@$!|+€£¡(])(?:[^\W_]|[{SIGNS}]){{0,64}}|[^\W_]{{0,64}}?([^\W\d_])\1\1[^\W_]{{0,64}})"
 )
+#: A run of letters, digits and signs; the signs within it that stand for no letter; the longest run that is one word to DISGUISED.
+CHUNK = re.compile(rf"(?:[^\W_]|[{SIGNS}])+")
+JOINING = re.compile("[" + "".join(re.escape(c) for c, s in STANDS_FOR.items() if not s and c != " ") + "]+")
+WORD = 64
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 DOUBLED = re.compile(r"(.)\1", re.I)
 #: Bytes of signs that stand for a letter, of signs that stand for none, of separators in SPACED, of ASCII letters and digits.
 STANDS, JOINS, APART, PLAIN = np.zeros((4, 256), bool)
@@ -115,9 +120,9 @@ class Channel:
     def viterbi(self, word: str) -> str:
         """States are the last two letters; each character is kept, replaced, left out or taken as a repetition."""
         log = self.log
-        best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c in word.lower():
-            step: dict[tuple[int, int, str], tuple[float, str]] = {}
+            step: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             stands = STANDS_FOR.get(c)
             for (x, y, last), (score, text) in best.items():
                 options = []
@@ -135,30 +140,62 @@ class Channel:
                     if s:
                         k = letter_class(s)
                         to, value = (y, k, s), score + cost + log[x][y][k]
-                        found = text + s
+                        found = (text, s)
                     else:
                         to, value, found = (x, y, last), score + cost, text
                     if to not in step or value > step[to][0]:
                         step[to] = (value, found)
             best = step
-        return max(((v + log[x][y][0], t) for (x, y, _), (v, t) in best.items()), default=(0.0, ""))[1]
+        # letters are linked from the last to the first, so long words take linear time
+        at, out = max(((v + log[x][y][0], t) for (x, y, _), (v, t) in best.items()), key=lambda found: found[0])[1], []
+        while at is not None:
+            at, s = at
+            out.append(s)
+        return "".join(reversed(out))
 
     def restored(self, text: str) -> str:
         """The text's disguised words, restored, between spaces."""
         out = []
         for m in SPACED.finditer(text):
-            out.append(self.viterbi(m[0]) if len(m[0]) > 64 else self.restore(m[0]))
-        for m in DISGUISED.finditer(text):
-            w = m[0].strip(".,-_'*%#&~^/\\ ")
-            # letters alone without a doubled one are the written word
-            if 2 < len(w) <= 64 and (not w.isalpha() or len(set(w)) < len(w) - 1 and DOUBLED.search(w)):
-                w = self.restore(w)
+            out.append(self.viterbi(m[0]) if len(m[0]) > WORD else self.restore(m[0]))
+        for chunk in CHUNK.finditer(text):
+            if len(chunk[0]) > WORD:
+                found = self.long(chunk[0])
+            else:
+                found = (m[0].strip(".,-_'*%#&~^/\\ ") for m in DISGUISED.finditer(chunk[0]))
+                # letters alone without a doubled one are the written word
+                found = (w for w in found if len(w) > 2 and (not w.isalpha() or len(set(w)) < len(w) - 1 and DOUBLED.search(w)))
+            for w in found:
+                w = self.viterbi(w) if len(w) > WORD else self.restore(w)
                 out.append(w)
                 squeezed = re.sub(r"(.)\1+", r"\1", w)
                 if squeezed != w:
                     out.append(squeezed)
         return " ".join(out)
 
+    def long(self, chunk: str) -> Iterator[str]:
+        """The words of a chunk of more than WORD characters: what lies between joining signs, as it is, each two
+        neighbours together, and runs of pieces of up to three characters ('tr-a-sh'). Repetitions are cut to two first."""
+        if chunk.isalpha() and not TRIPLE.search(chunk):
+            return
+        pieces = [p for p in JOINING.split(re.sub(r"(.)\1{2,}", r"\1\1", chunk)) if p]
+        run: list[str] = []
+        for k, piece in enumerate(pieces):
+            yield from self.worth(piece)
+            if k:
+                yield from self.worth(pieces[k - 1] + piece)
+            if len(piece) <= 3:
+                run.append(piece)
+            if len(piece) > 3 or k == len(pieces) - 1:
+                if len(run) > 2:
+                    yield from self.worth("".join(run))
+                run = []
+
+    @staticmethod
+    def worth(word: str) -> Iterator[str]:
+        if len(word) > 2 and any(c.isalpha() for c in word):
+            yield word
+
 
 def apart(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Places of letters or digits that may be inner ones of a match of SPACED: separators around them, then characters that may be on their own."""

@@ -121,6 +121,19 @@ def test_bytes_lose_nothing(channel, texts):
     assert [sorted(x) for x in sought(channel, texts)] == [sorted(channel.restored(t).split()) for t in texts]
 
 
+@pytest.mark.parametrize(
+    "chunk",
+    ["id" + "i" * 100 + "ot", "nice,words," * 6 + "1d10t", "1d10t" + "/nice/words" * 6, "nice-words." * 6 + "id-i-ot" + "-nice" * 6, "nice," * 20 + "i,d,i,o,t" + ",nice" * 20, "nice," * 20 + "1d" + "i" * 80 + "0t", "i." + "." * 90 + "diot"],
+)
+def test_long_chunks_are_read(channel, chunk):
+    assert len(chunk) > 64 and "idiot" in sought(channel, [f"so {chunk} there"])[0]
+
+
+def test_long_words_are_decoded_whole(channel):
+    for n in (20, 20_000):
+        assert channel.restored("p4thetic" * n) == "pathetic" * n
+
+
 def test_disguises_are_scored(spark):
     plain = [(k, f"{'of the and tion ' * 3}{'idiot' if k % 3 == 0 else 'sunny'} here", int(k % 3 == 0)) for k in range(600)]
     odd = [(1000 + k, f"the tion of {w} here") for k, w in enumerate(w for w, p in DISGUISES.items() if p == "idiot")]
