@@ -3,7 +3,8 @@
 The first pass looks at each block alone: stop-word density, length and link density make it good,
 bad or, where it is too short to tell, open. The second gives open blocks the label of their
 nearest decided neighbours. What markup itself names as no article (menus, footers, forms, scripts,
-boxes whose class says advert, notice or comments) is bad from the start.
+boxes whose class says advert or comments) is bad from the start; within an article only whole
+names of containers count. Names that articles use too (notice, discussion) leave it to the text.
 """
 
 from __future__ import annotations
@@ -28,11 +29,16 @@ BLOCKS = frozenset(
 HOLDERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6 dt dd li td th tr option".split())
 NEVER = frozenset("nav footer aside form fieldset menu dialog search head button label legend".split())
 WORDS = (
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus disclaimer dropdown feedback "
-    "footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay paywall popup popular promo promoted promotion rail recommended related "
-    "replies reply responses share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert warning discussion respond reactions"
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr login masthead menu menubar modal nav "
+    "navbar navigation newsletter overlay paywall popup promoted rail share sharing sidebar signup skyscraper sponsor sponsored subscribe subscription toolbar topbar widget widgets"
 )
 NAMED = frozenset(WORDS.split())
+#: Names that articles have too: they say nothing within one, and elsewhere the text of their blocks decides.
+DOUBTFUL = frozenset(
+    "alert byline copyright disclaimer discussion feedback header notice notices notification popular promo promotion reactions recommended related replies reply respond responses social tags warning".split()
+)
+#: Names that count within an article as an id too; other ids there name sections.
+IDS = frozenset("ad ads comment comments disqus footer sidebar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 STOPS = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up into than them only other its about after where what here
@@ -45,18 +51,18 @@ TAG = re.compile(
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
-MARK = re.compile(r"""\b(?:class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+MARK = re.compile(r"""\b(?:class|(id)|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
 
 
 class Block:
-    __slots__ = ("bad", "chars", "heading", "inside", "linked", "parts")
+    __slots__ = ("bad", "chars", "doubt", "heading", "inside", "linked", "parts")
 
-    def __init__(self, bad: bool, inside: bool, heading: bool) -> None:
+    def __init__(self, bad: bool, inside: bool, heading: bool, doubt: bool) -> None:
         self.parts: list[str] = []
         self.chars = self.linked = 0
-        self.bad, self.inside, self.heading = bad, inside, heading
+        self.bad, self.inside, self.heading, self.doubt = bad, inside, heading, doubt
 
 
 def named_bad(name: str, attributes: str, inside: bool) -> bool:
@@ -68,18 +74,28 @@ def named_bad(name: str, attributes: str, inside: bool) -> bool:
     role = ROLE.search(attributes)
     if role and role[1].lower() in ROLES:
         return True
-    return name not in ("html", "body", "article", "main") and any(
-        w.lower() in NAMED for m in MARK.finditer(attributes) for w in SPLIT.split(m[1] or m[2] or m[3] or "")
-    ) or (name == "article" and any(w.lower() in ("comment", "comments", "reply") for m in MARK.finditer(attributes) for w in SPLIT.split(m[1] or m[2] or m[3] or "")))
+    marks = [(bool(m[1]), m[2] or m[3] or m[4] or "") for m in MARK.finditer(attributes)]
+    if name == "article":
+        return any(w.lower() in ("comment", "comments", "reply") for _, value in marks for w in SPLIT.split(value))
+    if name in ("html", "body", "main"):
+        return False
+    if inside:
+        return name in HOLDERS and any(w in (IDS if is_id else NAMED) for is_id, value in marks for w in value.lower().split())
+    return any(w.lower() in NAMED for is_id, value in marks if name in HOLDERS or not is_id for w in SPLIT.split(value))
+
+
+def doubtful(name: str, attributes: str) -> bool:
+    """Whether the name of an element outside an article may say that it holds none."""
+    return name not in ("html", "body", "article", "main") and any(w in DOUBTFUL for m in MARK.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split())
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with what the markup around them says."""
-    stack: list[tuple[str, bool, bool]] = []
-    bad = inside = False
+    stack: list[tuple[str, bool, bool, bool]] = []
+    bad = inside = doubt = False
     links, heading = 0, False
     out: list[Block] = []
-    now = Block(False, False, False)
+    now = Block(False, False, False, False)
     breaks = 0
 
     def add(text: str) -> None:
@@ -99,7 +115,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal now, breaks
         if now.chars:
             out.append(now)
-        now, breaks = Block(bad, inside, heading), 0
+        now, breaks = Block(bad, inside, heading, doubt and not inside), 0
 
     at = 0
     for m in TAG.finditer(html):
@@ -130,13 +146,14 @@ def blocks(html: str) -> list[Block]:
             if closing:
                 if any(s[0] == name for s in stack):
                     while stack:
-                        top, bad, inside = stack.pop()
+                        top, bad, inside, doubt = stack.pop()
                         if top == name:
                             break
             elif not m[0].endswith("/>"):
-                stack.append((name, bad, inside))
+                stack.append((name, bad, inside, doubt))
                 own = named_bad(name, m[4] or m[7] or "", inside)
                 bad = bad or own
+                doubt = doubt or doubtful(name, m[4] or m[7] or "")
                 inside = inside or (name in ("article", "main") and not own)
         elif not closing and not bad and "=" in (m[4] or m[7] or "") and named_bad(name, m[4] or m[7], inside):
             fresh()
@@ -184,7 +201,7 @@ def labels(found: list[Block], texts: list[str]) -> list[bool]:
         elif found[i].heading:
             out[i] = after == "good"
         else:
-            out[i] = before == "good" and after == "good" if None not in (before, after) else "good" in (before, after) and len(texts[i]) >= SHORT
+            out[i] = before == "good" and after == "good" if None not in (before, after) or found[i].doubt else "good" in (before, after) and len(texts[i]) >= SHORT
     return out
 
 

@@ -36,6 +36,20 @@ def test_pages_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PROSE = "It is the story of a town that was on the river and of the people in it."
+
+
+@pytest.mark.parametrize("markup", ['<section id="discussion"><p>{}</p></section>', '<div class="warning"><p>{}</p></div>', '<h2 id="social-impact">{}</h2>', '<h2 id="related-work">{}</h2>', '<p class="popular">{}</p>', '<p id="comments">{}</p>', '<section id="navigation"><p>{}</p></section>', '<div class="ad-hoc"><p>{}</p></div>', '<div class="header">{}</div>'])
+def test_names_within_articles(markup):
+    found = html_text.main_text(f"<nav><a href=x>one</a></nav><article><p>{PROSE}</p>{markup.format('What they said of it in the end')}<p>{PROSE}</p></article>")
+    assert found.split("\n") == [PROSE, "What they said of it in the end", PROSE]
+
+
+def test_doubtful_names_outside_articles():
+    assert html_text.main_text(f'<div class="notice"><p>{PROSE}</p></div>') == PROSE
+    assert html_text.main_text(f'<div class="header">A tagline without any meaning</div><p>{PROSE}</p>') == PROSE
+
+
 TEXTS = ["", " ", "  a  b ", "\n\n x", "日本語 text 😀 é", "a" * 300, "hello" * 60 + "  x", "tab\there", "don't 12345 -- !!!! ok", " z \x00", "the quick brown fox " * 50]
 
 
