@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 The first pass looks at each block alone: stop-word density, length and link density make it good,
-bad or, where it is too short to tell, open. The second gives open blocks the label of their
+bad or, where it is too short to tell, open; where a page or block has no stop words of the languages
+known (English, German, French, Spanish), length and link density decide alone. The second gives open blocks the label of their
 nearest decided neighbours. What markup itself names as no article (menus, footers, forms, scripts,
 boxes whose class says advert or comments) is bad from the start; within an article only whole
 names of containers count. Names that articles use too (notice, discussion) leave it to the text.
@@ -22,6 +23,9 @@ from .common import ship, slices
 
 #: Link density above which a block is bad; stop-word densities; lengths in characters.
 LINKS, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.05, 0.25, 25, 200
+#: Where no stop words are known: width from which a block is good. Characters of scripts without spaces are three wide.
+PLAIN = 70
+WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u109f\u1780-\u17ff]")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -165,20 +169,40 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOPS for w in words), len(words)
+
+
+def foreign(text: str) -> bool:
+    """Whether most letters are of scripts that no known language is written in."""
+    return not text.isascii() and 2 * sum(c > "\u024f" for c in text if c.isalpha()) > sum(map(str.isalpha, text))
+
+
 def labels(found: list[Block], texts: list[str]) -> list[bool]:
     """Whether each block belongs to the article."""
     structured = any(b.inside and not b.bad for b in found)
+    out_of_it = [b.bad or b.linked > LINKS * b.chars or (structured and not b.inside) for b in found]
+    counts = [(0, 0) if gone else stops(text) for gone, text in zip(out_of_it, texts, strict=True)]
+    # pages in a language without known stop words, but for chance hits: length and links decide alone
+    letter = sum(w in ("a", "y", "o") for gone, text in zip(out_of_it, texts, strict=True) if not gone for w in text.lower().split())
+    unknown = sum(n for n, _ in counts) - letter < STOP_HIGH / 2 * sum(n for _, n in counts)
+    width = [len(text) + 2 * len(WIDE.findall(text)) if not text.isascii() else len(text) for text in texts]
+    alone = [not gone and (unknown or foreign(text)) for gone, text in zip(out_of_it, texts, strict=True)]
+    least = PLAIN if any(a and w >= PLAIN and not b.heading for a, w, b in zip(alone, width, found, strict=True)) else SHORT
     first: list[str] = []
-    for b, text in zip(found, texts, strict=True):
-        if b.bad or b.linked > LINKS * b.chars or (structured and not b.inside):
+    for k, (b, text) in enumerate(zip(found, texts, strict=True)):
+        if out_of_it[k]:
             first.append("bad")
             continue
-        words = text.lower().split()
-        density = sum(w.strip(".,;:!?\"'()") in STOPS for w in words) / len(words) if words else 0.0
-        if len(text) < SHORT or b.heading:
+        density = counts[k][0] / counts[k][1] if counts[k][1] else 0.0
+        if (width[k] if alone[k] else len(text)) < SHORT or b.heading:
             first.append("open")
         elif density >= STOP_HIGH or (density >= STOP_LOW and len(text) >= LONG) or b.inside:
             first.append("good")
+        elif alone[k]:
+            first.append("good" if width[k] >= least else "open")
         elif density >= STOP_LOW:
             first.append("open")
         else:

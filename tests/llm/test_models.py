@@ -50,6 +50,17 @@ def test_doubtful_names_outside_articles():
     assert html_text.main_text(f'<div class="header">A tagline without any meaning</div><p>{PROSE}</p>') == PROSE
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Это рассказ о городе у реки и о людях, которые жили там много лет назад и ничего не забыли. ", "Jest to opowieść o mieście nad rzeką i ludziach, którzy tam mieszkali przez wiele lat. ", "这是一个关于河边小镇和那里居民的故事，他们在那里生活了很多年，什么都没有忘记。", "これは川のほとりの町とそこに住む人々の物語であり、彼らは長年そこに暮らしていた。"],
+)
+@pytest.mark.parametrize("times", [1, 6])
+def test_languages_without_stop_words(text, times):
+    text = text.strip() if times == 1 else (text * times).strip()
+    menu = "<div><a href=x>one</a> <a href=y>two</a></div>"
+    assert html_text.main_text(f"{menu}<p>{text}</p><p>{text}</p>{menu}").split("\n") == [text, text]
+
+
 TEXTS = ["", " ", "  a  b ", "\n\n x", "日本語 text 😀 é", "a" * 300, "hello" * 60 + "  x", "tab\there", "don't 12345 -- !!!! ok", " z \x00", "the quick brown fox " * 50]
 
 
