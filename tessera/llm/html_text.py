@@ -51,10 +51,14 @@ STOPS = frozenset(
     el los las que y en un una por con no su para es al lo como más pero sus ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos""".split()
 )
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|video|audio|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
+#: Elements that are skipped up to their closing tag, or only their tag where it is missing; of these, those that "/>" ends.
+EMPTY = frozenset("svg iframe object canvas video audio".split())
+SKIPPED = EMPTY | frozenset("noscript template textarea select button title annotation annotation-xml".split())
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 MARK = re.compile(r"""\b(?:class|(id)|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
@@ -122,7 +126,8 @@ def blocks(html: str) -> list[Block]:
         now, breaks = Block(bad, inside, heading, doubt and not inside), 0
 
     at = 0
-    for m in TAG.finditer(html):
+    unclosed: set[str] = set()
+    while m := TAG.search(html, at):
         if at < m.start():
             add(html[at : m.start()])
         at = m.end()
@@ -132,6 +137,11 @@ def blocks(html: str) -> list[Block]:
                 add(m[0][9:].removesuffix("]]>"))
             continue
         name, closing = name.lower(), bool(m[2] or m[5])
+        if name in SKIPPED and not closing and name not in unclosed and not (name in EMPTY and m[0].endswith("/>")):
+            if close := CLOSING[name].search(html, at):
+                at = close.end()
+                continue
+            unclosed.add(name)
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":

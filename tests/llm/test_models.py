@@ -61,6 +61,16 @@ def test_languages_without_stop_words(text, times):
     assert html_text.main_text(f"{menu}<p>{text}</p><p>{text}</p>{menu}").split("\n") == [text, text]
 
 
+@pytest.mark.parametrize("markup", ['<svg class="icon"/>', "<math/>", "<svg><path d='M0'/>", "<object>", "<video src=x>", "<canvas/>", "<svg><title>no</title><text>no</text></svg>", "<iframe src=x>no</iframe>", "<svg>" * 2000])
+def test_skipped_elements_end(markup):
+    assert html_text.main_text(f"<article><p>First</p>{markup}<p>Second</p></article>").split("\n") == ["First", "Second"]
+
+
+def test_formulas_stay():
+    page = "<article><p>Here <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> holds</p></article>"
+    assert html_text.main_text(page) == "Here x=2 holds"
+
+
 TEXTS = ["", " ", "  a  b ", "\n\n x", "日本語 text 😀 é", "a" * 300, "hello" * 60 + "  x", "tab\there", "don't 12345 -- !!!! ok", " z \x00", "the quick brown fox " * 50]
 
 
