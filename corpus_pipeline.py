@@ -16,7 +16,7 @@ from tessera.llm.common import Scratch
 from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.packing import pack
 from tessera.llm.secrets import redact
-from tessera.llm.suffix_dedup import cut_repeats, whole_characters
+from tessera.llm.suffix_dedup import cut_repeats
 from tessera.llm.toxicity import THRESHOLD, score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,9 +47,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages cut; where nothing is cut the text stays as it is."""
     docs = _documents(docs)
-    rows = cut_repeats(docs, carry=("lang", "source"))
-    text = whole_characters("kept")
-    return rows.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    rows = cut_repeats(docs, carry=("lang", "source"), as_text=True)
+    return rows.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

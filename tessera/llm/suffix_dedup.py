@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import POWERS, U64, Powers, Scratch, buckets, mix, prefix_hashes, slices, text_bytes
@@ -295,9 +295,11 @@ def spans(n: int, copies: int | None, windows: list[bytes] | None, length: int)
     return np.column_stack([start[new], end[np.r_[new[1:], True]]])
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), hot: int = HOT, as_text: bool = False) -> DataFrame:
     """Each row's doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and the columns ``carry``.
 
+    With ``as_text`` also text: what stays without parts of characters at the cuts, null for a null text.
+
     A text is its UTF-8 bytes, null as empty. A byte goes if a string of ``length`` bytes covers it that
     also starts anywhere else, in the same text too; strings are judged on the input and never cross texts.
     Rows with null or repeated doc_id are texts like others, so equal rows of ``length`` bytes or more lose all;
@@ -305,7 +307,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] =
     """
     table, _ = repeated_windows(docs, length, hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry], text.alias("text_"), F.xxhash64(F.unhex(F.sha2(text, 256))).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry], *([F.col("text").isNull().alias("missing_")] if as_text else []), text.alias("text_"), F.xxhash64(F.unhex(F.sha2(text, 256))).alias("key"))
     rows = rows.join(table, "key", "left").drop("key")
     fields = [f for f in rows.schema.fields if f.name in carry]
 
@@ -313,24 +315,24 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] =
         for batch in batches:
             for piece in slices(batch, "text_"):
                 out: list[tuple] = []
+                texts: list[str] = []
                 for t, c, w in zip(*(piece.column(x).to_pylist() for x in ("text_", "copies", "windows")), strict=True):
                     raw = t.encode()
                     gone = spans(len(raw), c, w, length)
                     edge = [0, *gone.ravel().tolist(), len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+                    if as_text:
+                        texts.append("".join(raw[a:b].decode(errors="ignore") for a, b in zip(edge[::2], edge[1::2], strict=True)) if len(gone) else t)
                     out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
                 new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *new, *(piece.column(f.name) for f in fields)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f.name for f in fields)])
+                if as_text:
+                    new.append(pa.array([None if gone else t for t, gone in zip(texts, piece.column("missing_").to_pylist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *new, *(piece.column(f.name) for f in fields)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["text"] * as_text, *(f.name for f in fields)])
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + ", text string" * as_text + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
     return rows.mapInArrow(run, ddl)
 
 
-def whole_characters(column: str) -> Column:
-    """Kept bytes as text; a cut may leave parts of a character at its edges, which go."""
-    return F.regexp_replace(F.expr(f"make_valid_utf8(cast({column} as string))"), "�", "")
-
-
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 

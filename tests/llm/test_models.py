@@ -207,6 +207,17 @@ def test_pipeline_stages(spark, sf_dir):
     assert c.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == n
 
 
+def test_uncut_texts_stay(spark, sf_dir):
+    import corpus_pipeline as c
+
+    passage = "é" * 150
+    rows = [(1, "a \ufffd b"), (2, None), (3, ""), (4, f"\ufffd one {passage} x"), (5, f"two {passage} \ufffdy")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in c.without_repeats(spark, docs, sf_dir).collect()}
+    assert [got[k] for k in (1, 2, 3)] == ["a \ufffd b", None, ""]
+    assert got[4].startswith("\ufffd one") and got[5].endswith("\ufffdy") and passage not in got[4] + got[5]
+
+
 def test_registered_queries():
     import __spark_entry__ as e
 
