@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["POWERS", "SLICE_BYTES", "U64", "Powers", "Scratch", "buckets", "components", "mix", "prefix_hashes", "ship", "slices", "text_bytes"]
+__all__ = ["LEAVING", "POWERS", "SLICE_BYTES", "U64", "Powers", "Scratch", "buckets", "components", "grouped", "mix", "partition", "prefix_hashes", "release", "ship", "slices", "text_bytes"]
 U64 = np.uint64
 #: Bytes of text handled at a time inside one Python worker.
 SLICE_BYTES = 2_000_000
+#: Spark's setting that drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds of grouped work after which a worker gives memory back.
+PAUSE = 0.5
+#: What to call when a worker is done with a partition: each empties a cache.
+LEAVING: list[Callable[[], None]] = []
 
 
 class Scratch:
     """Parquet tables below ``spark.checkpoint.dir``, the folder that all executors share.
 
     They cut lineage: what was written survives the loss of executors. A folder of
-    its own is made only where the session names none (single machine, tests).
+    its own is made only where the session names none and runs on one machine (tests).
+    Shuffle files of a written table go as soon as it is written.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -32,23 +42,27 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more, and lets Spark drop their shuffles."""
-        jvm = self.spark._jvm
+        """Deletes tables that nothing reads any more."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def buckets(spark: SparkSession) -> int:
@@ -70,6 +84,9 @@ class Powers:
         self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, U64)
 
+    def shrink(self) -> None:
+        self.up = self.down = np.ones(1, U64)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
@@ -79,6 +96,56 @@ class Powers:
 
 
 POWERS = Powers(0x9E3779B97F4A7C15)
+LEAVING.append(POWERS.shrink)
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library: it has its own way
+    _trim = None
+
+
+def release() -> None:
+    """Gives a worker's caches, Arrow's unused pool and freed heap back, so that a reused worker holds nothing of earlier stages."""
+    for forget in LEAVING:
+        forget()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def partition(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a partition, then :func:`release`."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+_paused = 0.0
+
+
+def rest() -> None:
+    """:func:`release`, if the last one is PAUSE seconds ago."""
+    global _paused
+    if time.monotonic() - _paused > PAUSE:
+        release()
+        _paused = time.monotonic()
+
+
+def grouped(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``run`` of a group, and :func:`release` every so often."""
+
+    @wraps(run)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf)
+        rest()
+        return out
+
+    return one
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:

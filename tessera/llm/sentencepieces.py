@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, mix, ship, slices
+from .common import LEAVING, POWERS, U64, mix, partition, ship, slices
 
 SPACE = "▁"
-#: Words a worker remembers, the longest of them, words in one batch, longest word done by array rounds.
-CACHE, CACHE_CHARS, BATCH, ROUNDS = 250_000, 40, 4096, 128
+#: Words in each of the two generations that a worker remembers while it has a partition (some 30 MB each), the longest
+#: of them, words in one batch, longest word done by array rounds.
+CACHE, CACHE_CHARS, BATCH, ROUNDS = 100_000, 40, 4096, 128
 UNKNOWN = 10.0
 TOP = U64(44)
 
@@ -50,9 +50,9 @@ class Pieces:
         self.key, self.id = key[order], np.array(normal, np.int64)[order]
         if (self.key[1:] == self.key[:-1]).any():
             raise ValueError("two pieces have one hash")
-        # where the keys of each top begin, so that a probe looks at few of them
-        self.first = np.searchsorted(self.key >> TOP, np.arange((1 << 20) + 1, dtype=U64)).astype(np.int64)
-        self.probes = int(np.diff(self.first).max(initial=0))
+        # whether any key has a top: most substrings are told from pieces by it
+        self.held = np.zeros(1 << 20, bool)
+        self.held[(self.key >> TOP).astype(np.int64)] = True
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "byte"}
         self.unknown = next((i for i, k in enumerate(kinds) if k == "unknown"), 0)
         self.low = float(self.score[normal].min()) - UNKNOWN if normal else -UNKNOWN
@@ -65,7 +65,11 @@ class Pieces:
             self.cut = re.compile(".+", re.S)
         else:
             self.cut = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{lone or SPACE + '+'}|{SPACE}+", re.S)
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.now: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.before = self.now
 
     @staticmethod
     def hash_one(s: str) -> np.uint64:
@@ -87,11 +91,13 @@ class Pieces:
     def table(self, code: np.ndarray) -> np.ndarray:
         """Ids of the pieces at [:, start, characters - 1], or -1."""
         w, n, key = self.prefix(code, self.longest)
-        at = self.first[(key >> TOP).astype(np.int64)]
-        found = np.full(key.shape, -1, np.int64)
-        for k in range(self.probes):
-            i = np.minimum(at + k, len(self.key) - 1)
-            np.copyto(found, self.id[i], where=self.key[i] == key)
+        key = key.ravel()
+        may = np.flatnonzero(self.held[(key >> TOP).view(np.int64)])
+        at = np.minimum(np.searchsorted(self.key, key[may]), len(self.key) - 1)
+        hit = self.key[at] == key[may]
+        found = np.full(len(key), -1, np.int64)
+        found[may[hit]] = self.id[at[hit]]
+        found = found.reshape(w, n, -1)
         for size in range(2, found.shape[2] + 1):
             found[:, n - size + 1 :, size - 1] = -1
         return found
@@ -205,19 +211,21 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids, and those of the best sums of scores."""
+        if len(self.now[0]) > CACHE:
+            self.before, self.now = self.now, ({}, {})
+        own, summed = self.now
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*cut) - self.seen.keys()
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {}
-            new = set().union(*cut)
-        long: dict[str, tuple[bytes, bytes]] = {}
-        for w, a, b in self.words(list(new)):
-            (self.seen if len(w) <= CACHE_CHARS else long)[w] = (a, b)
-        look = (ChainMap(long, self.seen) if long else self.seen).__getitem__
-        out = []
-        for words in cut:
-            pairs = list(map(look, words))
-            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+        new = set().union(*cut).difference(own)
+        for w in new.intersection(self.before[0]):
+            own[w], summed[w] = self.before[0][w], self.before[1][w]
+        long: list[str] = []
+        for w, a, b in self.words([w for w in new if w not in own]):
+            own[w], summed[w] = a, b
+            if len(w) > CACHE_CHARS:
+                long.append(w)
+        out = [(b"".join(map(own.__getitem__, words)), b"".join(map(summed.__getitem__, words))) for words in cut]
+        for w in long:
+            del own[w], summed[w]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -239,7 +247,9 @@ def load(path: str, algorithm: str) -> Pieces:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = range(sp.get_piece_size())
     kinds = ["unknown" if sp.is_unknown(i) else "control" if sp.is_control(i) else "byte" if sp.is_byte(i) else "unused" if sp.is_unused(i) else "normal" for i in n]
-    return Pieces([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], kinds, algorithm)
+    out = Pieces([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], kinds, algorithm)
+    LEAVING.append(out.forget)
+    return out
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", algorithm: str = "merges") -> DataFrame:
@@ -247,11 +257,13 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", algorithm: str =
 
     Models with identity normalisation and a space put before each text. ``ids`` are those of the model's own
     ``algorithm``; ``best_sum_ids`` the Viterbi path of the highest sum of scores. Null and empty texts have no ids.
-    Rows with null or repeated doc_id are texts like others; an empty table gives an empty result; whole texts
-    are encoded; columns other than doc_id and text are not read.
+    Rows with null or repeated doc_id are texts like others; of equally good merges the leftmost comes first, of equal
+    sums the one with the longest last piece is taken; an empty table gives an empty result; whole texts
+    are encoded; columns other than doc_id and text are not read, so their names can't clash.
     """
     ship(docs.sparkSession)
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = load(model, algorithm)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +86,43 @@ def test_pieces_equal_the_library():
         assert pieces.decode(np.frombuffer(ids, "<u4")).decode() == text
 
 
+def test_ids_are_the_library_s_on_a_table():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    pieces = sentencepieces.load("piece_bpe_32k.model", "merges")
+    for text, (ids, summed) in zip(texts, pieces.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text)
+        assert pieces.decode(np.frombuffer(summed, "<u4")).decode() == text
+
+
+def test_viterbi_is_a_unigram_model_s_own(spark, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    r = np.random.default_rng(5)
+    names = sorted({"▁", *"abcd", *("".join(r.choice(list("▁abcd"), int(n))) for n in r.integers(2, 6, 60))})
+    names = [n for n in names if "▁" not in n[1:]]
+    model = proto.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = proto.TrainerSpec.UNIGRAM, True
+    model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    for piece, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((n, float(np.float32(-r.uniform(1, 9))), 1) for n in names)]:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["", "a", "é b", *("".join(r.choice(list("abcd  é"), int(n))) for n in r.integers(1, 60, 300))]
+    rows = [(k, t, 0, b"x") for k, t in enumerate(texts)]
+    got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id long, text string, ids int, decoded binary"), str(path), "viterbi")
+    for row in got.collect():
+        own, theirs = np.frombuffer(row.ids, "<u4").tolist(), sp.encode(row.text)
+        # equal but for paths of equal worth, which the library's single precision orders as it rounds
+        assert own == theirs or sum(map(sp.get_score, own)) == pytest.approx(sum(map(sp.get_score, theirs)), rel=1e-6), row.text
+        assert row.ids == row.best_sum_ids and row.decoded == row.text
+
+
 def test_viterbi_is_the_best_sum():
     r = np.random.default_rng(3)
     names = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "bca"]
