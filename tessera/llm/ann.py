@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import grouped, ship
 
 #: Rows of a block of candidates and of a block of queries; both bound a task's memory.
 CANDIDATE_ROWS, QUERY_ROWS, TILE_ROWS = 32_768, 1_024, 2_048
@@ -49,6 +49,7 @@ def block_join(df: DataFrame, is_query, search, k: int, candidate_rows: int, que
     right = dealt(df, counts.n, counts.n, candidate_rows, 1, "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     left = dealt(df.where(is_query), counts.q, counts.q, query_rows, 2, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
 
+    @grouped
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf["asks"] == side].sort_values("id", kind="stable") for side in (True, False))
         if not len(a) or not len(b):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import partition, ship, slices
 
 #: Link density above which a block is bad; stop-word densities; lengths in characters.
 LINKS, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.05, 0.25, 25, 200
@@ -255,6 +255,7 @@ def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("pa
     ship(pages.sparkSession)
     source = pages.select(*[F.col(c) for c in keep], F.coalesce(F.col(column).cast("string"), F.lit("")).alias("html_"))
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html_"):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buckets, components, slices, text_bytes
+from .common import U64, Scratch, buckets, components, grouped, partition, slices, text_bytes
 from .shingles import set_key, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -151,6 +151,7 @@ def link(index: Index, sets: list[np.ndarray], merged: Merger, queries: list[int
 def signatures(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
     """Rows of two kinds: a document with its set's size and key; or a part of the index with prefix shingles."""
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "doc_id", "n", "key", "tokens"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -233,6 +234,7 @@ def lead(pdf: pd.DataFrame) -> pd.DataFrame:
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     """(rep, key, shingles) of each row; 48 bits of a shingle's hash tell it from the few others of a chunk."""
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -245,6 +247,7 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 def search_chunk(percent: int):
     """Step 3 for one chunk: links between its classes."""
 
+    @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values(["leads", "rep"], ascending=[False, True])
         sets = [widened(b) for b in pdf["shingles"]]
@@ -259,6 +262,7 @@ def search_chunk(percent: int):
 def search_between(percent: int):
     """Step 4 for one chunk: links of classes from outside with its own."""
 
+    @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "rep"], ascending=[True, True])
         sets = [widened(b) for b in pdf["shingles"]]
@@ -287,7 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members = scratch.save(signed.where("part = -1").select("doc_id", "n", "key"), "documents")
     classes = scratch.save(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
-    shared = signed.where("part >= 0").groupBy("part").applyInPandas(lead, "class long, block long, n_tokens long")
+    shared = signed.where("part >= 0").groupBy("part").applyInPandas(grouped(lead), "class long, block long, n_tokens long")
     shared = shared.groupBy("class", "block").agg(F.sum("n_tokens").alias("n_tokens"))
     named = classes.withColumn("class", little_endian("key"))
     shared = shared.join(named, "class")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, Powers, Scratch, buckets, mix, prefix_hashes, slices, text_bytes
+from .common import LEAVING, POWERS, U64, Powers, Scratch, buckets, grouped, mix, partition, prefix_hashes, slices, text_bytes
 from .suffix_array import repeated_starts
 
 LENGTH, GRAM = 200, 48
@@ -35,6 +35,7 @@ HOT, SHARD_BYTES = 256, 400_000
 #: The part of a gram's hash that ranks it; the leftmost of equal ones is the anchor.
 HIGH = U64(0xFFFFFFFF00000000)
 SECOND = Powers(0xD1342543DE82EF95)
+LEAVING.append(SECOND.shrink)
 MOST = np.iinfo(np.int64).min
 
 
@@ -84,6 +85,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _anchors(parts: int, length: int):
     """Step 1: for each part of the anchors a blob of (anchor, key, first window << 8 | windows - 1)."""
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -136,6 +138,7 @@ def _occurrences(parts: int, length: int):
     names = ["kind", "part", "key", "first", "anchor", "content", "bytes"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -199,6 +202,7 @@ def _windows(key: np.ndarray, window: np.ndarray) -> pd.DataFrame:
 def _repeated_prints(parts: int):
     """Step 3 for one part of the fingerprints: (to, places), the places that repeat by the part of their text's key."""
 
+    @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(b, U64).reshape(-1, 5) for b in pdf["bytes"]])
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
@@ -229,6 +233,7 @@ def _marked(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shard(length: int):
     """Step 2 for one shard: the repeated windows of each distinct run, as (first, number) pairs."""
 
+    @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         contents = pdf["bytes"].to_list()
         joined = np.frombuffer(b"\xff".join(contents) + b"\xff", np.uint8)
@@ -253,7 +258,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_places: int = HO
     base = keyed(docs)
     copies = scratch.save(base.groupBy("key", "sha").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "copies")
     blobs = base.select("key", "text").mapInArrow(_anchors(parts, length), "part int, rows binary")
-    runs = blobs.groupBy("part").applyInPandas(lambda pdf: _shared(pdf, hot_places), "key long, hot boolean, runs binary")
+    runs = blobs.groupBy("part").applyInPandas(grouped(lambda pdf: _shared(pdf, hot_places)), "key long, hot boolean, runs binary")
     blob = lambda hot: F.collect_list(F.when(F.col("hot") == hot, F.col("runs")))
     runs = scratch.save(runs.groupBy("key").agg(blob(False).alias("runs"), blob(True).alias("hot")).join(copies, "key"), "runs")
 
@@ -267,14 +272,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot_places: int = HO
     hits = distinct.groupBy(shard.alias("shard")).applyInPandas(_shard(length), "anchor long, content binary, hits binary")
     back = places.select("key", "first", "anchor", "content").join(hits, ["anchor", "content"]).select("key", "first", "hits")
 
+    @partition
     def shift(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             yield pd.DataFrame({"key": pdf["key"], "windows": [(np.frombuffer(h, np.int64).reshape(-1, 2) + [a, 0]).astype(np.int64).tobytes() for a, h in zip(pdf["first"], pdf["hits"], strict=True)]})
 
     hot = found.where("kind = 1").select("part", "bytes")
     windows = back.mapInPandas(shift, "key long, windows binary")
-    windows = windows.unionByName(hot.where("part >= 0").groupBy("part").applyInPandas(_repeated_prints(parts), "to int, places binary").groupBy("to").applyInPandas(_gathered, "key long, windows binary"))
-    windows = windows.unionByName(hot.where("part < 0").select("bytes").mapInPandas(_marked, "key long, windows binary"))
+    windows = windows.unionByName(hot.where("part >= 0").groupBy("part").applyInPandas(_repeated_prints(parts), "to int, places binary").groupBy("to").applyInPandas(grouped(_gathered), "key long, windows binary"))
+    windows = windows.unionByName(hot.where("part < 0").select("bytes").mapInPandas(partition(_marked), "key long, windows binary"))
     gathered = windows.groupBy("key").agg(F.collect_list("windows").alias("windows"))
     out = scratch.save(copies.join(gathered, "key", "left").where("copies > 1 OR windows IS NOT NULL").select("key", "copies", "windows"), "windows")
     scratch.drop("found", "distinct", "copies")
@@ -311,6 +317,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] =
     rows = rows.join(table, "key", "left").drop("key")
     fields = [f for f in rows.schema.fields if f.name in carry]
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text_"):

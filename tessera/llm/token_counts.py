@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, slices
+from .common import Scratch, partition, ship, slices
 from .tokens import encoder
 
 BLOCK = 1024
@@ -22,6 +22,7 @@ BLOCK = 1024
 def histogram(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """(length, n_docs): how many rows of ``docs`` have so many ids. Null and empty texts have none."""
 
+    @partition
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -11,8 +11,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks in each of the two generations that a worker remembers, and the longest one it does.
-CACHE, CACHE_BYTES = 500_000, 40
+from .common import LEAVING
+
+#: Chunks in each of the two generations that a worker remembers while it has a partition (some 25 MB each), and the longest one it does.
+CACHE, CACHE_BYTES = 150_000, 40
 #: Stands between chunks that are encoded together; a chunk that holds it is encoded alone.
 MARK = "‖"
 MARK_BYTES = MARK.encode()
@@ -27,7 +29,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # a text that holds a special token, in any case, is encoded whole by the library
+        self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.mark = np.array(self.ids(MARK), "<u4")
         self.stops = {s: np.array(self.ids(s), "<u4").tobytes() for s in ".,"}
         self.now: dict[bytes, bytes] = {}
@@ -79,12 +82,19 @@ class ChunkEncoder:
             (self.now if len(c) <= CACHE_BYTES else long)[c] = (long.get(core) or self.now[core]) + self.stops[stop]
         return long
 
+    def forget(self) -> None:
+        self.now, self.before = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        odd = [any(s in low for s in self.special) for low in map(bytes.lower, texts)]
+        if any(odd):
+            plain = iter(self.encode([t for t, o in zip(texts, odd, strict=True) if not o]))
+            return [np.array(self.ids(t.decode()), "<u4").tobytes() if o else next(plain) for t, o in zip(texts, odd, strict=True)]
         if len(self.now) > CACHE:
             self.before, self.now = self.now, {}
         # without combining marks (U+0300 to U+036F) lower-casing A-Z first changes no id, and chunks recur more
         chunks = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        long = self.learn(set().union(*chunks) - self.now.keys())
+        long = self.learn(set().union(*chunks).difference(self.now))
         self.now.update(long)
         out = [b"".join(map(self.now.__getitem__, one)) for one in chunks]
         for c in long:
@@ -92,11 +102,13 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(4)
+@lru_cache(1)
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for a worker. A bare file name is looked up among the installed public tokenizers."""
+    """One encoder for a worker, which forgets its chunks after each partition. A bare file name is looked up among the installed public tokenizers."""
     if "/" not in path:
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    return ChunkEncoder(path)
+    out = ChunkEncoder(path)
+    LEAVING.append(out.forget)
+    return out

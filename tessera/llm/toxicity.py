@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, mix, prefix_hashes, ship, slices, text_bytes
+from .common import POWERS, U64, mix, partition, prefix_hashes, ship, slices, text_bytes
 from .shingles import LOWER, word_spans
 
 #: Labelled rows that a classifier is fitted on at most: those of the least hashes of doc_id.
@@ -81,6 +81,7 @@ def letter_class(c: str) -> int:
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams over all documents, as LETTERS x LETTERS x LETTERS. At most that many rows are collected."""
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
@@ -324,6 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndar
     def count(which: np.ndarray | None):
         """Documents that have a bin, by bin; with ``which`` only of these bins."""
 
+        @partition
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             channel, total, docs_seen = Channel(counts), np.zeros(BINS, np.int64), 0
             for batch in batches:
@@ -346,6 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndar
     weight = np.log((pos + 0.2) / (total_pos + 1)) - np.log((neg + 0.5) / (total_neg + 1))
     weight = np.where(pos > 0, np.maximum(weight, 0) * pos / (pos + 2), 0).astype(np.float32)
 
+    @partition
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(counts)
         for batch in batches:
@@ -409,6 +412,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), most:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id_"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"{c}_carried") for c in carry if c != "text"])
     fields = [f for f in source.schema.fields if f.name.endswith("_carried") or (f.name == "text" and "text" in carry)]
 
+    @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weight, beta = shared.value
         channel = Channel(counts)

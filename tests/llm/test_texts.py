@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import ngram_join, packing, secrets, suffix_array, suffix_dedup, token_counts
+from tessera.llm import ngram_join, packing, secrets, suffix_array, suffix_dedup, token_counts, tokens
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, key string, rep long, component string, n int, kinds string, bytes string"
@@ -172,7 +173,7 @@ def test_trigram_queries_are_necessary():
 
 
 def token_rows():
-    return [(1, "Hello, world. It's 3.14..."), (2, None), (3, ""), (4, prose(3, 3000)), (4, "a‖b ‖ H̱a"), (None, "日本語。 テスト. x² ½"), (5, "word " * 1023), (6, "x" * 9000), (7, "<|endoftext|> a")]
+    return [(1, "Hello, world. It's 3.14..."), (2, None), (3, ""), (4, prose(3, 3000)), (4, "a‖b ‖ H̱a"), (None, "日本語。 テスト. x² ½"), (5, "word " * 1023), (6, "x" * 9000), (7, "<|endoftext|> a"), (8, "Some<|startoftext|>glued. <|ENDOFTEXT|>"), (9, "word " * 40_000)]
 
 
 def encoded(texts):
@@ -180,7 +181,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -225,6 +225,21 @@ def test_plans_hold_all_and_waste_little(histogram):
         else:
             bins[i] += n
     assert plan.sequences <= len(bins) + 8
+    assert packing.best_plan(histogram, 100, groups=8).sequences <= len(bins)
+
+
+@pytest.mark.parametrize(("histogram", "most"), [({1100: 1, 400: 500}, 101), ({1500: 1, 350: 1000, 10: 5}, 201), ({2048: 3, 1: 5}, 4), ({}, 0)])
+def test_groups_are_cut_by_rank(histogram, most):
+    assert packing.best_plan(histogram).sequences == most
+    groups = packing.groups_by_rank(sorted(histogram.items(), reverse=True), 8)
+    sizes = [sum(c for _, c in g) for g in groups]
+    assert len(set(sizes[:-1])) <= 1 and sum(sizes) == sum(histogram.values())
+
+
+def test_ids_are_the_library_s():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    got = tokens.encoder("word_bpe_49k.json").encode([(t or "").encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == encoded(texts)
 
 
 def test_token_counts(spark):
