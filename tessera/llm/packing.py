@@ -32,7 +32,7 @@ from .tokens import encoder
 
 CAPACITY = 2048
 #: Groups of large lengths, and the shares of the capacity above which a length may be large; each is tried.
-GROUPS, LARGE, SHARES = 48, 1 / 6, (1 / 6, 1 / 4, 1 / 3)
+GROUPS, SHARES = 48, (1 / 6, 1 / 4, 1 / 3)
 #: Rows of a bucket in which ranks are counted, and buckets of a stretch.
 BUCKET_ROWS, STRETCH = 4096, 1024
 END = 0
@@ -93,20 +93,28 @@ def groups_by_rank(histogram: list[tuple[int, int]], groups: int) -> list[list[l
 
 
 class Plan:
-    """``slots[length]``: rows (first rank, count, first sequence, offset).
+    """``slots[length]``: rows (first rank, count, first sequence, offset) of the packing of fewest ``sequences``.
 
-    With ``groups`` 0 every piece goes best-fit, longest first.
+    Pieces count as large from each of ``shares`` of the capacity in turn, and from none, which is plain best-fit decreasing.
     """
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> None:
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, shares: tuple[float, ...] = SHARES) -> None:
+        tried = [Attempt(histogram, capacity, groups, share) for share in (*shares, 1.0)]
+        best = min(tried, key=lambda one: one.sequences)
+        self.sequences, self.slots = best.sequences, best.slots
+
+
+class Attempt:
+    """One packing, where pieces of more than ``large`` of the capacity are grouped."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, groups: int, large: float) -> None:
         self.capacity, self.sequences = capacity, 0
         self.slots: dict[int, list[tuple[int, int, int, int]]] = {}
         self.next = dict.fromkeys(histogram, 0)
         self.left = {n: c for n, c in histogram.items() if c}
         self.room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
         self.full(capacity)
-        if groups:
-            self.grouped([n for n in sorted(self.left, reverse=True) if n > large * capacity], groups)
+        self.grouped([n for n in sorted(self.left, reverse=True) if n > large * capacity], groups)
         for n in sorted(self.left, reverse=True):
             self.best_fit(n)
 
@@ -180,12 +188,6 @@ class Plan:
                 self.room[room].append((base + bins, n - bins))
 
 
-def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, shares: tuple[float, ...] = SHARES) -> Plan:
-    """The plan of fewest sequences: pieces count as large from each of ``shares`` of the capacity, and from none (plain best-fit decreasing)."""
-    plans = [Plan(histogram, capacity, groups, share) for share in shares]
-    return min([*plans, Plan(histogram, capacity, 0)], key=lambda plan: plan.sequences)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the closing id, cut where it is longer."""
 
@@ -217,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     scratch = Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, tokenizer, capacity), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
-    plan = best_plan(histogram, capacity)
+    plan = Plan(histogram, capacity)
     table = np.array(sorted((n << 40 | first, base - first, offset) for n, rows in plan.slots.items() for first, _, base, offset in rows), np.int64).reshape(-1, 3)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 

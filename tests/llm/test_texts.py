@@ -225,12 +225,12 @@ def test_plans_hold_all_and_waste_little(histogram):
         else:
             bins[i] += n
     assert plan.sequences <= len(bins) + 8
-    assert packing.best_plan(histogram, 100, groups=8).sequences <= len(bins)
+    assert plan.sequences <= len(bins)
 
 
 @pytest.mark.parametrize(("histogram", "most"), [({1100: 1, 400: 500}, 101), ({1500: 1, 350: 1000, 10: 5}, 201), ({2048: 3, 1: 5}, 4), ({}, 0)])
 def test_groups_are_cut_by_rank(histogram, most):
-    assert packing.best_plan(histogram).sequences == most
+    assert packing.Plan(histogram).sequences == most
     groups = packing.groups_by_rank(sorted(histogram.items(), reverse=True), 8)
     sizes = [sum(c for _, c in g) for g in groups]
     assert len(set(sizes[:-1])) <= 1 and sum(sizes) == sum(histogram.values())
