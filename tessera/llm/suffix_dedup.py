@@ -114,9 +114,11 @@ def _shared(pdf: pd.DataFrame, hot_places: int) -> pd.DataFrame:
     size = np.diff(np.r_[edge, len(rows)])
     places = np.repeat(size, size)
     rows, hot = rows[places > 1], (places > hot_places)[places > 1]
+    if not len(rows):
+        return pd.DataFrame({"key": np.zeros(0, np.int64), "hot": np.zeros(0, bool), "runs": []})
     order = np.lexsort((rows[:, 2], hot, rows[:, 1]))
     rows, hot = rows[order], hot[order]
-    cut = np.flatnonzero(np.r_[True, (rows[1:, 1] != rows[:-1, 1]) | (hot[1:] != hot[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, (rows[1:, 1] != rows[:-1, 1]) | (hot[1:] != hot[:-1])])
     stop = np.r_[cut[1:], len(rows)]
     return pd.DataFrame({"key": rows[cut, 1].view(np.int64), "hot": hot[cut], "runs": [rows[a:b, 2].tobytes() for a, b in zip(cut, stop, strict=True)]})
 
