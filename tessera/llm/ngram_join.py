@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, buckets, components, grouped, partition, slices, text_bytes
@@ -153,15 +153,16 @@ def signatures(docs: DataFrame, parts: int, words: int, percent: int) -> DataFra
 
     @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "doc_id", "n", "key", "tokens"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["part", "doc_id", "text_key", "n", "key", "tokens"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for piece in slices(batch, "text"):
                 data, at = text_bytes(piece.column("text"))
                 sets = shingle_sets(data, at, words)
                 keys = [set_key(s) for s in sets]
-                rows: list[tuple] = [(-1, d, len(s), k, None) for d, s, k in zip(piece.column("doc_id").to_pylist(), sets, keys, strict=True)]
-                once = {k: s for d, s, k in zip(piece.column("doc_id").to_pylist(), sets, keys, strict=True) if len(s) and d is not None}
+                ids = piece.column("doc_id").to_pylist()
+                rows: list[tuple] = [(-1, d, t, len(s), k, None) for d, t, s, k in zip(ids, piece.column("text_key").to_pylist(), sets, keys, strict=True)]
+                once = {k: s for d, s, k in zip(ids, sets, keys, strict=True) if len(s) and d is not None}
                 prefix = [s[: prefix_length(len(s), percent)] for s in once.values()]
                 if prefix:
                     token = np.concatenate(prefix)
@@ -172,10 +173,16 @@ def signatures(docs: DataFrame, parts: int, words: int, percent: int) -> DataFra
                     for p in range(parts):
                         if cut[p] < cut[p + 1]:
                             own = order[cut[p] : cut[p + 1]]
-                            rows.append((p, None, len(own), *packed(token[own], owner[own])))
+                            rows.append((p, None, None, len(own), *packed(token[own], owner[own])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, n long, key binary, tokens binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key")).mapInArrow(run, "part int, doc_id long, text_key long, n long, key binary, tokens binary")
+
+
+def text_key(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def packed(token: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
@@ -244,17 +251,19 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, key binary, shingles binary")
 
 
+def found_links(name: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": pd.Series([name[i] for i, _ in links], dtype=object), "b": pd.Series([name[j] for _, j in links], dtype=object)})
+
+
 def search_chunk(percent: int):
     """Step 3 for one chunk: links between its classes."""
 
     @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values(["leads", "rep"], ascending=[False, True])
+        pdf = pdf.drop_duplicates("name").sort_values(["leads", "name"], ascending=[False, True])
         sets = [widened(b) for b in pdf["shingles"]]
-        rep = pdf["rep"].to_numpy()
         merged = Merger(np.arange(len(sets)))
-        links = link(Index(sets), sets, merged, list(range(len(sets))), percent)
-        return pd.DataFrame({"a": [rep[i] for i, _ in links], "b": [rep[j] for _, j in links]}, dtype="int64")
+        return found_links(pdf["name"].to_numpy(), link(Index(sets), sets, merged, list(range(len(sets))), percent))
 
     return run
 
@@ -264,17 +273,16 @@ def search_between(percent: int):
 
     @grouped
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["asks", "rep"], ascending=[True, True])
+        pdf = pdf.drop_duplicates("name").sort_values(["asks", "name"], ascending=[True, True])
         sets = [widened(b) for b in pdf["shingles"]]
-        rep, own = pdf["rep"].to_numpy(), int((~pdf["asks"]).sum())
+        own = int((~pdf["asks"]).sum())
         merged = Merger(pdf["component"].to_numpy())
-        links = link(Index(sets[:own]), sets, merged, list(range(own, len(sets))), percent)
-        return pd.DataFrame({"a": [rep[i] for i, _ in links], "b": [rep[j] for _, j in links]}, dtype="int64")
+        return found_links(pdf["name"].to_numpy(), link(Index(sets[:own]), sets, merged, list(range(own, len(sets))), percent))
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; sets hold the distinct
@@ -283,60 +291,76 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     nothing and is its own component. Rows with a null doc_id keep their count, have a null
     component and link with nothing. Equal texts are one class; a doc_id that comes twice
     gives two rows, each with its own text's component. An empty table gives an empty result.
-    Columns other than doc_id and text are not read.
+    Columns other than doc_id and text are not read, so their names can't clash.
+
+    Shingles are compared by 64-bit hashes in the index and by 48 bits of them when a chunk counts an overlap.
+    With ``keys`` also text_key, key (the text's set) and keeper (whether the component is named by this set, so
+    that of a component's texts one set, that of its smallest doc_id, is kept).
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), buckets(spark)
     signed = scratch.save(signatures(docs, parts, words, percent), "signed")
-    members = scratch.save(signed.where("part = -1").select("doc_id", "n", "key"), "documents")
-    classes = scratch.save(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    members = scratch.save(signed.where("part = -1").select("doc_id", "n", "key", *(["text_key"] if keys else [])), "documents")
+    # a class is named by its smallest doc_id, then its key, so the least name of a component has the least doc_id
+    classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = scratch.save(classes.withColumn("name", F.concat(big_endian(F.col("rep")), "key")), "classes")
 
     shared = signed.where("part >= 0").groupBy("part").applyInPandas(grouped(lead), "class long, block long, n_tokens long")
     shared = shared.groupBy("class", "block").agg(F.sum("n_tokens").alias("n_tokens"))
     named = classes.withColumn("class", little_endian("key"))
     shared = shared.join(named, "class")
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) / 10))
-    one = Window.partitionBy("rep")
+    one = Window.partitionBy("key")
     shared = shared.withColumn("all", F.sum("n_tokens").over(one)).where(F.col("all") >= least)
     below = F.sum("n_tokens").over(one.orderBy("n_tokens", "block").rowsBetween(Window.unboundedPreceding, 0))
-    shared = shared.withColumn("below", below).where(F.col("below") * 2 >= least).select("block", "rep", "key", "n")
+    shared = shared.withColumn("below", below).where(F.col("below") * 2 >= least).select("block", "rep", "key")
     joined = scratch.save(shared, "blocks")
-    sizes = joined.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("first")).where("m > 1")
-    sizes = sizes.select("block", F.ceil(F.col("m") / chunk).alias("chunks"), F.col("first.rep").alias("leader"))
-    joined = joined.join(sizes, "block").withColumn("leads", F.col("rep") == F.col("leader")).drop("leader", "n")
+    sizes = joined.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("first")).where("m > 1")
+    sizes = sizes.select("block", F.ceil(F.col("m") / chunk).alias("chunks"), F.col("first.key").alias("leader"))
+    joined = joined.join(sizes, "block").withColumn("leads", F.col("key") == F.col("leader")).drop("leader")
     joined = scratch.save(joined, "members")
     scratch.drop("blocks", "signed")
 
     wanted = joined.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = whole_sets(texts, words).join(joined, ["rep", "key"])
-    own = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("chunks"))
-    sets = scratch.save(sets.withColumn("own", own), "sets")
+    own = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks"))
+    sets = scratch.save(sets.select("block", "chunks", "leads", own.alias("own"), F.concat(big_endian(F.col("rep")), "key").alias("name"), "shingles"), "sets")
     dealt = sets.withColumn("chunk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))))
-    edges = scratch.save(dealt.groupBy("block", "chunk").applyInPandas(search_chunk(percent), "a long, b long").distinct(), "edges")
+    edges = scratch.save(dealt.select("block", "chunk", "leads", "name", "shingles").groupBy("block", "chunk").applyInPandas(search_chunk(percent), "a binary, b binary").distinct(), "edges")
 
     linked = components(scratch, edges, "first")
-    large = sets.where("chunks > 1").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    large = large.select("block", "chunks", "own", "rep", "component", "shingles")
+    large = sets.where("chunks > 1").join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    large = large.select("block", "chunks", "own", "name", "component", "shingles")
     main = large.groupBy("block", "component").agg(F.count("*").alias("m")).groupBy("block").agg(F.max(F.struct("m", "component")).alias("top"))
     asking = large.join(main.select("block", F.col("top.component").alias("main")), "block").where("component <> main").drop("main")
     asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("chunk <> own").withColumn("asks", F.lit(True))
     between = large.withColumn("chunk", F.col("own")).withColumn("asks", F.lit(False)).unionByName(asking)
-    between = between.select("block", "chunk", "rep", "component", "shingles", "asks").groupBy("block", "chunk").applyInPandas(search_between(percent), "a long, b long")
+    between = between.select("block", "chunk", "name", "component", "shingles", "asks").groupBy("block", "chunk").applyInPandas(search_between(percent), "a binary, b binary")
     found = scratch.save(between.distinct(), "between")
     if found.limit(1).count():
         linked = components(scratch, linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found), "second")
-    final = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    final = classes.join(linked.withColumnRenamed("node", "name"), "name", "left").select("key", F.coalesce("component", "name").alias("component"), (F.coalesce("component", "name") == F.col("name")).alias("keeper"))
     scratch.drop("sets", "members")
     out = members.join(final, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), from_big_endian(F.substring("component", 1, 8)))).otherwise(F.col("doc_id")).alias("component_id"),
+        *(["text_key", "key", "keeper"] if keys else []),
     )
     out = scratch.save(out, "result")
     scratch.drop("documents", "classes", "edges", "between")
     return out
 
 
+def big_endian(x: Column) -> Column:
+    """Eight bytes that sort as the long does."""
+    return F.unhex(F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def from_big_endian(x: Column) -> Column:
+    return (F.conv(F.hex(x), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def little_endian(column: str):
     """The first eight bytes of a binary column as a signed integer, least byte first."""
     parts = [F.shiftleft(F.conv(F.hex(F.substring(column, i + 1, 1)), 16, 10).cast("long"), 8 * i) for i in range(8)]

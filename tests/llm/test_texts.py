@@ -163,6 +163,13 @@ def test_redaction_keeps_the_rest(spark):
     assert any(t and t.startswith("[SECRET]! [SECRET] token:abc [SECRET]") for _, t in rows)
 
 
+def test_a_repeated_doc_id_loses_no_link(spark):
+    a, b = prose(1, 100), prose(2, 100)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (-5, prose(3, 50)), (-5, None), (2**60, prose(3, 50) + " y")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(frame(spark, rows)).collect())
+    assert got == sorted([(1, 96, 1), (1, 96, 1), (2, 97, 1), (3, 97, 1), (-5, 46, -5), (-5, 0, -5), (2**60, 47, -5)])
+
+
 def test_trigram_queries_are_necessary():
     for rule in secrets.BASE + secrets.ADDED:
         query = secrets.trigram_query(rule.regex)
