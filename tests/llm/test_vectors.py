@@ -1,3 +1,4 @@
+import collections
 import math
 
 import numpy as np
@@ -72,13 +73,47 @@ def test_bounds_hold():
     assert (np.abs(near - a @ b.T) <= (na[:, None] * rb + ra[:, None] * (nb + rb)) * (1 + 1e-9) + 1e-12 * (na + ra)[:, None] * (nb + rb)).all()
 
 
-def test_impact_stops_only_on_proof():
+@pytest.mark.parametrize("dense", [0.0, 0.02, 2.0])
+def test_impact_stops_only_on_proof(monkeypatch, dense):
+    monkeypatch.setattr(impact, "DENSE", dense)
     r = np.random.default_rng(1)
     m = np.floor(256 * r.standard_cauchy((400, 12)))
     q = np.floor(256 * r.normal(size=(30, 12)))
-    i, rows, score = impact.search_block(q, m, np.zeros((30, 400), bool), np.arange(400), 5)
+    index = impact.ImpactIndex(m)
+    i, rows, score = index.search(q, np.zeros((400, 30), bool), np.arange(400), 5)
     for k in range(30):
         assert sorted(score[i == k].tolist(), reverse=True) == sorted((m @ q[k]).tolist(), reverse=True)[:5]
+    # every non-zero cell is in one posting list, levels descend
+    assert len(index.row) == np.count_nonzero(m)
+    sizes = [np.abs(index.impact[index.start[12 * n] : index.start[12 * n + 12]]) for n in range(len(impact.LEVELS))]
+    assert all(a.min() >= b.max() for a, b in zip(sizes, sizes[1:], strict=False) if len(a) and len(b))
+
+
+def test_many_components_lose_nothing():
+    # codes of 127 throughout: their products pass what single precision adds exactly
+    r = np.random.default_rng(9)
+    m = 1.0 + r.integers(0, 2, (3000, 4096)) * 2.0**-20
+    q = m[::100] * r.choice([1.0, 0.5], (30, 1))
+    ids = np.arange(10, 3010)
+    qi, ci, score = ann.nearest(20)(ids, m)(np.arange(-30, 0), q)
+    for i in range(30):
+        exact = ann.products(np.broadcast_to(q[i], m.shape), m)
+        want = sorted(zip(-exact, ids, strict=True))[:20]
+        got = sorted(zip(-score[qi == i], ids[ci[qi == i]], strict=True))
+        assert [x[1] for x in got] == [x[1] for x in want]
+
+
+def test_repeated_ids(spark):
+    big = 2**53 + 2
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, -1.0]), *[(k, [float(k), 1.0]) for k in range(1, 9)], (5, [5.0, 1.0]), (5, [9.0, 9.0]), (big, [100.0, 1.0]), (big + 1, [100.0, 1.0])]
+    for search, k in ((ann.nearest_neighbours, 4), (impact.top_k, 4)):
+        got = search(frame(spark, rows), F.col("id") == 0, k).collect()
+        # two different vectors ask; the row that comes twice is two candidates
+        assert len(got) == 2 * k and sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4] * 2)
+        one = sorted([r for r in got if r.score in {x.score for x in got if x.score > 0}], key=lambda r: (r["rank"], r.vec_id))
+        assert [r.vec_id for r in one if r["rank"] == 1] == [big, big] and [r.vec_id for r in one if r["rank"] == 2] == [big + 1, big + 1]
+        again = search(frame(spark, [*rows[3:], (20, [1.0, 1.0])]), F.col("id") == 20, 8).collect()
+        assert collections.Counter(r.vec_id for r in again)[5] == 3
 
 
 def test_no_rows_and_few_rows(spark):
