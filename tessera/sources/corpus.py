@@ -1,26 +1,61 @@
-"""A synthetic, seeded set of sales with exact totals, from column expressions alone."""
+"""A synthetic set of shop tables with exact totals, drawn from hashes of the row's number alone.
+
+Everything follows from a seed and the numbers of rows, whatever the partitioning, so a table is the same on any cluster.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEED = 20260101
+SEED = 7
+
+
+def share(*parts: Column | str) -> Column:
+    """A number from 0 to below 1 that the parts choose."""
+    return F.pmod(F.xxhash64(F.lit(SEED), *[F.lit(p) if isinstance(p, str) and not p.isidentifier() else p for p in parts]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def below(n: int, *parts: Column | str) -> Column:
+    return F.floor(share(*parts) * n)
+
+
+def tail(rate: float, *parts: Column | str) -> Column:
+    """A whole number from 1 on, where each further one is ``rate`` times as frequent."""
+    return 1 + F.floor(F.log(F.lit(1.0) - share(*parts)) / F.log(F.lit(rate)))
+
+
+def shops(spark: SparkSession, rows: int) -> DataFrame:
+    """(shop, town, opened, area): towns repeat, areas are whole square metres."""
+    n = spark.range(rows).withColumnRenamed("id", "shop")
+    return n.select("shop", F.concat(F.lit("town "), below(40, "shop", F.lit(1)).cast("string")).alias("town"), F.date_add(F.lit("2001-03-01").cast("date"), below(6000, "shop", F.lit(2)).cast("int")).alias("opened"), (60 + below(900, "shop", F.lit(3))).alias("area"))
+
+
+def goods(spark: SparkSession, rows: int) -> DataFrame:
+    """(item, label, cents, tags): prices in steps of five cents, up to three tags."""
+    n = spark.range(rows).withColumnRenamed("id", "item")
+    tags = F.transform(F.sequence(F.lit(0).cast("long"), below(3, "item", F.lit(4))), lambda k: F.concat(F.lit("tag"), below(12, "item", k, F.lit(5)).cast("string")))
+    return n.select("item", F.concat(F.lit("item no. "), F.col("item").cast("string")).alias("label"), (5 * tail(0.995, "item", F.lit(6))).alias("cents"), tags.alias("tags"))
+
+
+def receipts(spark: SparkSession, rows: int, shops: int = 30, goods: int = 1000) -> DataFrame:
+    """(receipt, shop, minute, lines, net, vat, gross): net is the sum of the lines, vat a fifth of it rounded down, gross both."""
+    n = spark.range(rows).withColumnRenamed("id", "receipt")
+    line = lambda k: F.struct(below(goods, "receipt", k, F.lit(7)).alias("item"), tail(0.4, "receipt", k, F.lit(8)).alias("pieces"), (5 * tail(0.995, "receipt", k, F.lit(9))).alias("cents"))
+    n = n.withColumn("lines", F.transform(F.sequence(F.lit(1).cast("long"), tail(0.8, "receipt", F.lit(10))), line))
+    net = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["pieces"] * x["cents"])
+    n = n.withColumn("net", net).withColumn("vat", F.floor(F.col("net") / 5))
+    return n.select("receipt", below(shops, "receipt", F.lit(11)).alias("shop"), (F.col("receipt") * 3 + below(3, "receipt", F.lit(12))).alias("minute"), "lines", "net", "vat", (F.col("net") + F.col("vat")).alias("gross"))
 
 
-def draw(n: int, *parts: Column | str) -> Column:
-    """A number below ``n`` from the hash of the parts."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(n))
+def readings(spark: SparkSession, rows: int) -> DataFrame:
+    """(reading, shop, celsius, open, note): a tenth of the temperatures are unknown, notes are rare."""
+    n = spark.range(rows).withColumnRenamed("id", "reading")
+    celsius = F.when(share("reading", F.lit(13)) >= 0.1, F.round(15 + 10 * share("reading", F.lit(14)), 1))
+    return n.select("reading", below(30, "reading", F.lit(15)).alias("shop"), celsius.alias("celsius"), (share("reading", F.lit(16)) < 0.6).alias("open"), F.when(share("reading", F.lit(17)) < 0.02, F.lit("door left open")).alias("note"))
 
 
-def sales(spark: SparkSession, rows: int) -> DataFrame:
-    """(id, user_id, store_id, created_at, subtotal_cents, tax_cents, total_cents, detail): the subtotal is the sum of its lines."""
-    few = F.when(draw(100, "id") < 62, 1 + draw(4, "id", F.lit(1))).when(draw(100, "id") < 88, 5 + draw(4, "id", F.lit(1))).otherwise(9 + draw(16, "id", F.lit(1)))
-    part = lambda k: draw(100, "id", k, F.lit(2))
-    quantity = lambda k: F.when(part(k) < 64, 1).when(part(k) < 86, 2).when(part(k) < 96, 3 + draw(3, "id", k, F.lit(3))).otherwise(10 + draw(90, "id", k, F.lit(3)))
-    unit = lambda k: 99 + 100 * draw(200, "id", k, F.lit(4))
-    line = lambda k: F.struct(draw(2000, "id", k, F.lit(5)).alias("product_id"), quantity(k).cast("long").alias("quantity"), unit(k).alias("unit_cents"), (quantity(k) * unit(k)).alias("total_cents"))
-    df = spark.range(rows).withColumn("n", few).withColumn("detail", F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), line))
-    subtotal = F.aggregate("detail", F.lit(0).cast("long"), lambda a, x: a + x["total_cents"])
-    df = df.withColumn("subtotal_cents", subtotal).withColumn("tax_cents", F.floor(F.col("subtotal_cents") / 10))
-    return df.select("id", draw(500, "id", F.lit(6)).alias("user_id"), draw(25, "id", F.lit(7)).alias("store_id"), (F.lit(1767225600) + F.col("id") * 37).alias("created_at"), "subtotal_cents", "tax_cents", (F.col("subtotal_cents") + F.col("tax_cents")).alias("total_cents"), "detail")
+def fingerprint(df: DataFrame) -> DataFrame:
+    """(rows, sum, xor): of the hashes of all rows, so in whatever order they come; equal frames have equal ones."""
+    row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return df.agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("sum"), F.bit_xor(row).alias("xor"))
