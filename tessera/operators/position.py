@@ -2,46 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import BLOCK, GROUP
 
-#: Rows that one window partition is meant to sort.
-STRETCH = 100_000
+#: Rows that one window partition is meant to sort, and the most stretches: beyond, stretches grow and their sort spills.
+STRETCH, STRETCHES = 100_000, 1024
 
 
-def with_positions(df: DataFrame, order_by: list[str], stretch: int = STRETCH) -> DataFrame:
-    """Adds pos (from 0), row_group and block.
+def with_positions(df: DataFrame, order_by: list[str], pos: str = "pos", row_group: str = "row_group", block: str | None = "block", stretch: int = STRETCH) -> DataFrame:
+    """Adds pos (from 0), row_group and block, under the names given.
 
     The first key's quantiles cut the rows into stretches that keep the order; positions are counted in
-    each and shifted by the sizes of those before. Only the bounds and sizes reach the driver (rows /
-    ``stretch`` of each). The keys must order the rows wholly for the result to be the same every time.
+    each and shifted by the sizes of those before. Only the bounds and sizes, ``STRETCHES`` of each at most, reach the
+    driver. The keys must order the rows wholly for the result to be the same every time.
     """
     n = df.count()
-    cuts = -(-n // stretch)
+    cuts = min(STRETCHES, -(-n // stretch))
     lead = F.col(order_by[0])
-    bounds: list = []
+    part, shift = F.lit(0), {0: 0}
     if cuts > 1:
         got = df.agg(F.percentile_approx(lead, [i / cuts for i in range(1, cuts)], 10_000)).first()[0]
         bounds = sorted({x for x in got or () if x is not None})
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < lead))
-    cut = df.withColumn("stretch_", F.coalesce(part, F.lit(-1)))
-    shift: dict[int, int] = {}
-    total = 0
-    for r in sorted(cut.groupBy("stretch_").count().collect()):
-        shift[r["stretch_"]] = total
-        total += r["count"]
+        part = F.coalesce(_place(lead, bounds, 0), F.lit(-1))
+        total, shift = 0, {}
+        for r in sorted(df.groupBy(part.alias("stretch_")).count().collect()):
+            shift[r["stretch_"]] = total
+            total += r["count"]
+    cut = df.withColumn("stretch_", part)
     base = F.lit(0).cast("long")
     if len(shift) > 1:
-        base = F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for kv in shift.items() for i, x in enumerate(kv)])[F.col("stretch_")]
+        sizes = F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for kv in shift.items() for i, x in enumerate(kv)])
+        base = sizes[F.col("stretch_")]
     row = F.row_number().over(Window.partitionBy("stretch_").orderBy(*order_by))
-    return cut.withColumn("pos", base + row - 1).drop("stretch_").withColumn("row_group", F.floor(F.col("pos") / GROUP)).withColumn("block", F.floor(F.col("pos") % GROUP / BLOCK))
+    out = cut.withColumn(pos, base + row - 1).drop("stretch_").withColumn(row_group, F.floor(F.col(pos) / GROUP))
+    return out.withColumn(block, F.floor(F.col(pos) % GROUP / BLOCK)) if block else out
+
+
+def _place(lead: Column, bounds: list, first: int) -> Column:
+    """How many of the ascending bounds are less than a value, by halving; null for a null value."""
+    if not bounds:
+        return F.when(lead.isNotNull(), F.lit(first))
+    half = len(bounds) // 2
+    return F.when(lead > F.lit(bounds[half]), _place(lead, bounds[half + 1 :], first + half + 1)).when(lead.isNotNull(), _place(lead, bounds[:half], first))
 
 
 def cells(df: DataFrame, columns: list[str], kind: str = "long") -> DataFrame:
-    """(column_name, pos, row_group, block, v): the named columns one under the other."""
+    """(column_name, pos, row_group, block, v): the named columns one under the other.
+
+    Rows go to their row group's partition before they multiply, so windows and aggregates over a column's row groups need no
+    shuffle of cells.
+    """
     stack = ", ".join(f"'{c}', cast(`{c}` as {kind})" for c in columns)
-    return df.selectExpr("pos", "row_group", "block", f"stack({len(columns)}, {stack}) as (column_name, v)")
+    return df.select("pos", "row_group", "block", *columns).repartition("row_group").selectExpr("pos", "row_group", "block", f"stack({len(columns)}, {stack}) as (column_name, v)")

@@ -7,18 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# The codes of the types, in order.
-OPS = (
-    "bool", "int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "string", "bytes",
-    "int8s", "int16s", "int32s", "int64s", "uint16s", "uint32s", "uint64s", "strings", "struct", "structs", "map", "pointer",
-    "any", "anys", "struct_pointer", "float64s", "float32s", "bools", "byte_strings",
-)
-CODE = {name: i for i, name in enumerate(OPS)}
 ATOMS = {
     "boolean": "bool", "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "decimal(20,0)": "uint64", "float": "float32", "double": "float64", "string": "string", "binary": "bytes",
     "date": "int32", "timestamp": "int64", "timestamp_ntz": "int64", "variant": "any",
 }
 LISTS = {"tinyint": "int8s", "smallint": "int16s", "int": "int32s", "bigint": "int64s", "decimal(20,0)": "uint64s", "string": "strings", "double": "float64s", "float": "float32s", "boolean": "bools", "binary": "byte_strings", "variant": "anys"}
+OPS = frozenset((*ATOMS.values(), *LISTS.values(), "struct", "struct_pointer", "structs", "map", "pointer", "decimal"))
 KEYS = ("string", "tinyint", "smallint", "int", "bigint", "decimal(20,0)", "boolean")
 #: Fields of an object; levels that structs may nest; list columns within list columns.
 MOST_FIELDS, DEPTH, LIST_DEPTH = 4080, 128, 4
@@ -43,6 +37,8 @@ def op_of(t: T.DataType, nullable: bool = False) -> str:
         if (op := LISTS.get(t.elementType.simpleString())) is None:
             raise Refused(f"no lists of {t.elementType.simpleString()}")
         return op
+    if isinstance(t, T.DecimalType) and name not in ATOMS:
+        return "pointer" if nullable else "decimal"
     if name not in ATOMS:
         raise Refused(f"no op for {name}")
     return "pointer" if nullable and name != "variant" else ATOMS[name]
@@ -134,7 +130,7 @@ def section(schema: T.StructType) -> bytes:
         for f in t.fields:
             inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
             extra = str(seen[inner.json()]) if isinstance(inner, T.StructType) else f.dataType.json()
-            put(f"{ids[f.name]}\t{CODE[op_of(f.dataType, f.nullable)]}\t{int(f.nullable)}\t{extra}\t{f.name}".encode())
+            put(f"{ids[f.name]}\t{op_of(f.dataType, f.nullable)}\t{int(f.nullable)}\t{extra}\t{f.name}".encode())
     return bytes(out)
 
 
@@ -162,9 +158,9 @@ def parse(data: bytes) -> list[list[Field]]:
         fields, ids = [], set()
         for _ in range(count()):
             parts = take().split("\t", 4)
-            if len(parts) != 5 or not parts[0].isdigit() or not parts[1].isdigit() or int(parts[1]) >= len(OPS):
+            if len(parts) != 5 or not parts[0].isdigit() or parts[1] not in OPS:
                 raise Refused(f"no field: {parts}")
-            op = OPS[int(parts[1])]
+            op = parts[1]
             if parts[0] in ids:
                 raise Refused(f"id {parts[0]} comes twice")
             if op in ("struct", "structs", "struct_pointer") and not (parts[3].isdigit() and int(parts[3]) < structs):

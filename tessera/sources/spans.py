@@ -1,4 +1,4 @@
-"""Byte spans of an encoded integer column: which bytes are its header, base and blocks. They tile it."""
+"""Byte spans of encoded columns: which bytes are form, bitmap, header, base and blocks. They tile the column."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import codec
+import numpy as np
+
+from ..functions import codec, columns
 from ..functions.scalar import BLOCK
 from ..session import ship
+from .chunks import SECTION
 
 NAMES = {codec.RAW: "raw", codec.FRAME: "frame", codec.DELTA: "delta", codec.CONSTANT: "constant"}
 #: Blocks told apart; those after them are one span.
@@ -35,16 +38,32 @@ def spans(payload: bytes, n: int) -> Iterator[tuple[str, str, int, int]]:
         yield f"block[{k}..]", "rest", at, len(payload)
 
 
+def node_spans(kind: str, payload: bytes, n: int) -> Iterator[tuple[str, str, int, int]]:
+    """(path, kind, start, end) of a node: integers block by block, other kinds' values as one span."""
+    yield "form", kind, 0, 1
+    at = 1
+    if payload[0] == columns.ABSENT:
+        return
+    if payload[0] == columns.PRESENCE:
+        at = 1 + (n + 7) // 8
+        yield "presence", "bitmap", 1, at
+        n = int(np.unpackbits(np.frombuffer(payload, np.uint8, at - 1, 1), bitorder="little")[:n].sum())
+    if kind == "int":
+        yield from ((path, what, at + a, at + b) for path, what, a, b in spans(payload[at:], n))
+    elif at < len(payload):
+        yield "values", kind, at, len(payload)
+
+
 def inspect(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    """(row_group, column_name, path, kind, start, end) of the integer chunks of :mod:`tessera.sources.chunks`."""
+    """(row_group, column_name, path, kind, start, end) of the chunks of :mod:`tessera.sources.chunks`."""
     ship(spark)
 
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = [(r.row_group, r.column_name, *s) for r in pdf.itertuples() for s in spans(r.payload, r.n)]
+            rows = [(r.row_group, r.column_name, *s) for r in pdf.itertuples() for s in node_spans(r.kind, r.payload, r.n)]
             yield pd.DataFrame(rows, columns=["row_group", "column_name", "path", "kind", "start", "end"])
 
-    whole = chunks.where("kind = 'int' AND presence IS NULL").select("row_group", "column_name", "n", "payload")
+    whole = chunks.where(f"kind <> '{SECTION}'").select("row_group", "column_name", "kind", "n", "payload")
     return whole.mapInPandas(run, "row_group long, column_name string, path string, kind string, start long, end long")
