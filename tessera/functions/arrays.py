@@ -14,7 +14,9 @@ from . import codec
 
 #: Elements that an encoded slice may have.
 MOST = 1 << 26
-LIMITS = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+#: Least and greatest of each integer type; decimal(20,0) stands for unsigned 64-bit ones.
+RANGES = {f"{name}": (-(1 << bits), (1 << bits) - 1) for name, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63))} | {"decimal(20,0)": (0, (1 << 64) - 1)}
+FLOAT_MAX = 3.4028234663852886e38
 
 
 def _varint(n: int) -> bytes:
@@ -59,7 +61,7 @@ def encode_float_slice(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decode_float_slice(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
-        yield s.map(lambda b: None if b is None else codec.decode_floats(b[_read_varint(b)[1] :], _read_varint(b)[0]).tolist())
+        yield s.map(lambda b: None if b is None else codec.decode_floats(b, *_read_varint(b))[0].tolist())
 
 
 def narrowest(a: Column) -> Column:
@@ -68,11 +70,22 @@ def narrowest(a: Column) -> Column:
     return F.when(within(7), 1).when(within(15), 2).when(within(31), 4).otherwise(8)
 
 
+def literal(n: int) -> Column:
+    """An integer of any size."""
+    return F.lit(n) if -(1 << 63) <= n < 1 << 63 else F.lit(str(n)).cast("decimal(20,0)")
+
+
+def unfit(x: Column, target: str) -> Column:
+    """Whether a number is out of ``target``'s range; for float a finite one that would become infinite."""
+    if target == "float":
+        return ~F.isnan(x) & (F.abs(x) > FLOAT_MAX) & (F.abs(x) != float("inf"))
+    low, high = RANGES[target]
+    return ~x.between(literal(low), literal(high))
+
+
 def first_unfit(a: Column, target: str) -> Column:
     """Index of the first element out of ``target``'s range, or null."""
-    bits = LIMITS[target]
-    bad = F.transform(a, lambda x: ~x.between(-(1 << bits), (1 << bits) - 1))
-    at = F.array_position(bad, F.lit(True))
+    at = F.array_position(F.transform(a, lambda x: unfit(x, target)), F.lit(True))
     return F.when(at > 0, at - 1)
 
 

@@ -56,12 +56,59 @@ def wide_uint_size(v: Column) -> Column:
     return F.when(v == 0, 0).when(v <= 127, 2).otherwise(F.least(varint, plain))
 
 
+def narrow_uint_size(v: Column) -> Column:
+    """Bytes of an unsigned field with a 4-bit key: zero is left out, 1 to 4 are in the key's byte."""
+    return F.when(v == 0, 0).when(v.between(1, 4), 1).otherwise(1 + width_bytes(v))
+
+
+# The lengths up to which a length field takes one, two and three bytes.
+LENGTHS = ((239, 1), (3823, 2), (65535, 3))
+
+
+def length_size(n: Column) -> Column:
+    """Bytes of a length: one, two or three up to the limits of ``LENGTHS``, five beyond."""
+    out = F.when(n <= LENGTHS[0][0], LENGTHS[0][1])
+    for most, size in LENGTHS[1:]:
+        out = out.when(n <= most, size)
+    return out.otherwise(5)
+
+
+# Rows that a table may have, and cells that each byte of a message buys beyond them.
+TABLE_ROWS, CELLS_PER_BYTE = 1 << 22, 64
+
+
+def within_budget(rows: Column, columns: Column, size: Column) -> Column:
+    """Whether a table of ``rows`` by ``columns`` is believed of a message of ``size`` bytes."""
+    return (rows <= TABLE_ROWS) & (rows * F.greatest(columns, F.lit(1)) <= TABLE_ROWS + CELLS_PER_BYTE * size)
+
+
+#: From so many elements an array of floats is tried as a column.
+COLUMN_FROM = 128
+
+
+def keeps_column(n: Column, size: Column, plain: Column) -> Column:
+    """Whether an array of ``n`` floats that takes ``size`` bytes as a column is written so: it is long enough, smaller than
+    its bits, and has no more than 64 values for each byte."""
+    return (n >= COLUMN_FROM) & (size < plain) & (n <= CELLS_PER_BYTE * size)
+
+
 def fnv8(name: Column) -> Column:
-    """FNV-1a of the name's bytes folded to one byte."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.ascii(F.substring(name, i, F.lit(1))))
+    """FNV-1a of the name's UTF-8 bytes folded to one byte."""
+    h = fnv1a(F.encode(name, "utf-8"))
+    fold = h.bitwiseXOR(F.shiftright(h, 8)).bitwiseXOR(F.shiftright(h, 16)).bitwiseXOR(F.shiftright(h, 24))
+    return fold.bitwiseAND(F.lit(255)).cast("int")
+
+
+def fnv1a(data: Column) -> Column:
+    """32-bit FNV-1a of a binary, as a long."""
+    digits = F.hex(data)
+    starts = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(starts, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
     mask = F.lit(0xFFFFFFFF)
+
     # 32-bit product by halves of the prime, 16777619 = 2**24 + 403, so nothing leaves 64 bits
-    step = lambda h, c: F.shiftleft(h.bitwiseXOR(c.cast("long")), 24).bitwiseAND(mask).__add__(h.bitwiseXOR(c.cast("long")) * 403).bitwiseAND(mask)
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), step)
-    fold = h.bitwiseXOR(F.shiftright(h, 8)).bitwiseXOR(F.shiftright(h, 16)).bitwiseXOR(F.shiftright(h, 24))
-    return F.when(F.length(name) == 0, F.lit(2166136261 & 0xFF ^ 2166136261 >> 8 & 0xFF ^ 2166136261 >> 16 & 0xFF ^ 2166136261 >> 24)).otherwise(fold.bitwiseAND(F.lit(255))).cast("int")
+    def step(h: Column, c: Column) -> Column:
+        x = h.bitwiseXOR(c)
+        return (F.shiftleft(x, 24).bitwiseAND(mask) + x * 403).bitwiseAND(mask)
+
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), step)

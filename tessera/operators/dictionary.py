@@ -10,10 +10,19 @@ from ..functions.scalar import bit_length, length_prefix
 SAMPLE, ENTRIES = 1024, 1 << 16
 
 
+def values(cells: DataFrame) -> DataFrame:
+    """(column_name, value, first_pos, uses) of every distinct value but null."""
+    return cells.where("v IS NOT NULL").groupBy("column_name", F.col("v").alias("value")).agg(F.min("pos").alias("first_pos"), F.count("*").alias("uses"))
+
+
 def build(cells: DataFrame) -> DataFrame:
-    """(column_name, id, value, first_pos, uses): ids from 0 by first appearance. Nulls have none."""
-    got = cells.where("v IS NOT NULL").groupBy("column_name", F.col("v").alias("value")).agg(F.min("pos").alias("first_pos"), F.count("*").alias("uses"))
-    return got.withColumn("id", F.row_number().over(Window.partitionBy("column_name").orderBy("first_pos")) - 1)
+    """(column_name, id, value, first_pos, uses): ids from 0 by first appearance. Nulls have none.
+
+    A column of more than 65536 values never pays, so it gets no dictionary; what is numbered in one task is bounded by that.
+    """
+    got = values(cells)
+    small = got.groupBy("column_name").agg(F.count("*").alias("entries")).where(F.col("entries") <= ENTRIES).select("column_name")
+    return got.join(small, "column_name", "left_semi").withColumn("id", F.row_number().over(Window.partitionBy("column_name").orderBy("first_pos")) - 1)
 
 
 def decide(cells: DataFrame) -> DataFrame:
@@ -25,12 +34,12 @@ def decide(cells: DataFrame) -> DataFrame:
     size = F.octet_length("v") + length_prefix(F.octet_length("v"))
     rows = cells.where("v IS NOT NULL").groupBy("column_name").agg(F.count("*").alias("n"), F.sum(size).alias("raw"), F.max(F.octet_length("v")).alias("longest"))
     entry = F.octet_length("value") + length_prefix(F.octet_length("value"))
-    values = build(cells).groupBy("column_name").agg(F.count("*").alias("entries"), F.sum(entry).alias("added"), F.count_if(F.col("first_pos") < SAMPLE).alias("early"))
+    entries = values(cells).groupBy("column_name").agg(F.count("*").alias("entries"), F.sum(entry).alias("added"), F.count_if(F.col("first_pos") < SAMPLE).alias("early"))
     width = bit_length(F.col("entries") - 1)
     ids = F.floor((F.col("n") * width + 7) / 8) + F.floor((F.col("n") + 127) / 128) + 1
     cost = F.col("added") + ids + length_prefix(F.col("entries")) + 1
     refused = (F.col("early") > SAMPLE * 7 // 8) | (F.col("entries") > F.floor(F.col("n") / 2)) | (F.col("entries") > ENTRIES) | (F.col("longest") == 0) | (F.col("cost") >= F.col("raw"))
-    return rows.join(values, "column_name").withColumn("cost", cost).select("column_name", "n", "entries", "raw", "cost", (~refused).alias("accepted"))
+    return rows.join(entries, "column_name").withColumn("cost", cost).select("column_name", "n", "entries", "raw", "cost", (~refused).alias("accepted"))
 
 
 def encode(cells: DataFrame, dictionary: DataFrame) -> DataFrame:

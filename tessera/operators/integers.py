@@ -27,18 +27,23 @@ def residuals(cells: DataFrame) -> DataFrame:
     return out.withColumn("step", zigzag(step)).withColumn("overflows", F.col("after").isNotNull() & step.isNull()).drop("after")
 
 
-def block_widths(cells: DataFrame) -> DataFrame:
-    """(column_name, row_group, block, n, n_steps, raw_width, frame_width, step_width)."""
+def block_widths(cells: DataFrame, *more: Column) -> DataFrame:
+    """(column_name, row_group, block, n, n_steps, raw_width, frame_width, step_width) and aggregates ``more`` of each block."""
     got = residuals(cells).groupBy("column_name", "row_group", "block").agg(
+        *more,
         F.count("*").alias("n"), F.count("step").alias("n_steps"), F.bit_or("raw").alias("raw"), F.bit_or("frame").alias("frame"), F.bit_or("step").alias("step"),
         F.min("least").alias("least"), F.max("v").alias("most"), F.bool_or("overflows").alias("overflows"),
     )
     return got.select(
         "column_name", "row_group", "block", "n", "n_steps", bit_length(F.col("raw")).alias("raw_width"), bit_length(F.col("frame")).alias("frame_width"),
-        F.coalesce(bit_length(F.col("step")), F.lit(0)).alias("step_width"), "least", "most", "overflows",
+        F.coalesce(bit_length(F.col("step")), F.lit(0)).alias("step_width"), "least", "most", "overflows", *[c for c in got.columns if c not in OWN],
     )
 
 
+#: What :func:`block_widths` aggregates itself.
+OWN = ("column_name", "row_group", "block", "n", "n_steps", "raw", "frame", "step", "least", "most", "overflows")
+
+
 def column_stats(cells: DataFrame) -> DataFrame:
     """(column_name, row_group, n, least, most, is_constant, overflows)."""
     g = residuals(cells).groupBy("column_name", "row_group")
@@ -46,13 +51,15 @@ def column_stats(cells: DataFrame) -> DataFrame:
     return got.select("column_name", "row_group", "n", "least", "most", (F.col("least") == F.col("most")).alias("is_constant"), "overflows")
 
 
-def transform_costs(cells: DataFrame) -> DataFrame:
+def transform_costs(cells: DataFrame, blocks: tuple[Column, ...] = (), groups: tuple[Column, ...] = ()) -> DataFrame:
     """Payload bytes of each transform, the transform taken and the size of each row group of each column.
 
+    ``blocks`` are further aggregates of each block's cells, ``groups`` those of a group's blocks.
+
     In the order raw, frame, delta, constant a later one is taken only if it is strictly smaller.
     """
-    got = block_widths(cells).groupBy("column_name", "row_group").agg(
-        F.sum("n").alias("n"), F.sum(block_bytes(F.col("n"), F.col("raw_width"))).alias("raw_cost"), (BASE + F.sum(block_bytes(F.col("n"), F.col("frame_width")))).alias("frame_cost"),
+    got = block_widths(cells, *blocks).groupBy("column_name", "row_group").agg(
+        *groups, F.sum("n").alias("n"), F.sum(block_bytes(F.col("n"), F.col("raw_width"))).alias("raw_cost"), (BASE + F.sum(block_bytes(F.col("n"), F.col("frame_width")))).alias("frame_cost"),
         (BASE + F.sum(F.when(F.col("n_steps") > 0, block_bytes(F.col("n_steps"), F.col("step_width"))).otherwise(0))).alias("delta_cost"),
         (F.min("least") == F.max("most")).alias("is_constant"), F.bool_or("overflows").alias("overflows"),
     )
@@ -61,7 +68,14 @@ def transform_costs(cells: DataFrame) -> DataFrame:
     constant = F.when(F.col("is_constant"), F.lit(BASE).cast("long")).otherwise(far)
     best = F.least("raw_cost", "frame_cost", delta, constant)
     taken = F.when(F.col("raw_cost") == best, "raw").when(F.col("frame_cost") == best, "frame").when(delta == best, "delta").otherwise("constant")
-    return got.select("column_name", "row_group", "n", "raw_cost", "frame_cost", "delta_cost", taken.alias("transform"), (best + 1).alias("size"))
+    return got.select("column_name", "row_group", "n", "raw_cost", "frame_cost", "delta_cost", taken.alias("transform"), (best + 1).alias("size"), *got.columns[2 : 2 + len(groups)])
+
+
+def short_scan(cells: DataFrame) -> DataFrame:
+    """(column_name, row_group, low, high, steps): least, greatest and the OR of all zigzag steps, from 0 at the first value, of each group."""
+    before = F.lag("v").over(_group(order=True))
+    got = cells.withColumn("step", F.coalesce(zigzag(F.try_subtract(F.col("v"), before)), F.lit(0).cast("long"))).groupBy("column_name", "row_group")
+    return got.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.bit_or("step").alias("steps"))
 
 
 def sizes(cells: DataFrame) -> DataFrame:

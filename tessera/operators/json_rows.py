@@ -1,55 +1,168 @@
-"""JSON texts: exact inference with refusals, rendering, and a round trip that is checked."""
+"""JSON texts: exact inference at every level with diagnostics, rendering, and round trips that are checked."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import jsontext
+from ..functions.arrays import sorted_entries
+from ..session import ship
 
-INT_MAX, UINT_MAX = (1 << 63) - 1, (1 << 64) - 1
+KINDS = ("null", "boolean", "string", "array", "object", "float", "int", "unsigned", "invalid")
 
 
 def observations(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """(record, name, value, kind) of the top-level fields; a repeated key counts once, with its last value.
+    """(record, path, kind, new, n, negative, place, offset, message): for each record how often a path has a kind, and where first.
 
-    Kinds: null, boolean, string, array, object, float, int, unsigned (above the largest signed).
+    ``new`` is 1 in one row of each record and path, else 0.
+    Paths go to every level: ``$.a.b``, list elements ``$.a[]``. Of a repeated key the last value counts, once. A text
+    that is no JSON is one observation of kind invalid with the byte and line of the fault. Null texts are none.
     """
-    raw = F.from_json(F.col(column), "map<string,string>")
-    typed = F.try_parse_json(column)
-    rows = texts.select(F.col(key).alias("record"), typed.alias("doc"), F.explode(F.map_entries(raw)).alias("e"))
-    rows = rows.select("record", F.col("e.key").alias("name"), F.col("e.value").alias("value"), F.expr("schema_of_variant(try_variant_get(doc, concat('$[\"', e.key, '\"]'), 'variant'))").alias("seen"))
-    seen = F.col("seen")
-    number = F.col("value").try_cast("decimal(38,0)")
-    kind = (
-        F.when(F.col("value").isNull() | (seen == "VOID"), "null").when(seen == "BOOLEAN", "boolean").when(seen == "STRING", "string").when(seen.startswith("ARRAY"), "array").when(seen.startswith("OBJECT"), "object")
-        .when(F.col("value").rlike(r"[.eE]") | number.isNull(), "float").when(number > INT_MAX, "unsigned").otherwise("int")
-    )
-    return rows.select("record", "name", "value", kind.alias("kind"), (number < 0).alias("negative"))
+    ship(texts.sparkSession)
+    kind_of_key = texts.schema[key].dataType.simpleString()
+    names = ["record", "path", "kind", "new", "n", "negative", "place", "offset", "message"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    seen: dict[tuple[str, str], list] = {}
+                    for place, (path, node) in enumerate(jsontext.walk(jsontext.parse(text))):
+                        negative = node.kind == "int" and node.value < 0
+                        if (one := seen.get((path, node.kind))) is None:
+                            seen[path, node.kind] = [1, negative, place, node.at]
+                        else:
+                            one[0] += 1
+                            one[1] |= negative
+                    paths: set[str] = set()
+                    for (path, kind), (n, negative, place, at) in seen.items():
+                        rows.append((k, path, kind, int(path not in paths), n, negative, place, len(text[:at].encode()), None))
+                        paths.add(path)
+                except jsontext.Malformed as e:
+                    rows.append((k, "$", "invalid", 1, 1, False, 0, e.offset, str(e)))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names)
+
+    return texts.select(key, F.col(column).cast("string").alias("text_")).mapInArrow(run, f"record {kind_of_key}, path string, kind string, new long, n long, negative boolean, place long, offset long, message string")
 
 
 def infer(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """(name, type, nullable, conflict, n_records, first_record): what each field is, or the kinds that contradict each other.
+    """(path, type, nullable, conflict, n_records, first_record, first_place): what each path is, or the kinds that contradict each other.
 
-    Any float makes a field double; an unsigned above the signed range makes it decimal(20,0) unless another record is negative.
+    Any float makes a path double; an unsigned above the signed range makes it decimal(20,0) unless another value is negative.
+    A path is nullable if it is null somewhere or absent from an object that could have it. Paths in order of
+    (first_record, first_place) are in order of first sight. A conflict names, for each kind, its records, and the first's byte.
     """
-    seen = observations(texts, key, column)
-    total = texts.select(F.count(F.from_json(F.col(column), "map<string,string>")).alias("total"))
+    one = observations(texts, key, column).groupBy("path", "kind").agg(
+        F.sum("n").alias("n"), F.bool_or("negative").alias("negative"), F.sum("new").alias("n_records"), F.max("record").alias("last"),
+        F.min(F.struct("record", "place", "offset", "message")).alias("first"),
+    )
     has = lambda k: F.bool_or(F.col("kind") == k).alias(f"is_{k}")
-    kinds = ("null", "boolean", "string", "array", "object", "float", "int", "unsigned")
-    got = seen.groupBy("name").agg(*[has(k) for k in kinds], F.coalesce(F.bool_or("negative"), F.lit(False)).alias("negative"), F.countDistinct("record").alias("n_records"), F.min("record").alias("first_record"))
+    said = F.concat(
+        F.col("kind"), F.lit(" in records "), F.col("first.record").cast("string"), F.lit(" to "), F.col("last").cast("string"), F.lit(" from byte "), F.col("first.offset").cast("string"),
+        F.coalesce(F.concat(F.lit(" ("), F.col("first.message"), F.lit(")")), F.lit("")),
+    )
+    details = F.array_sort(F.collect_list(F.when(F.col("kind") != "null", said)))
+    got = one.groupBy("path").agg(
+        *[has(k) for k in KINDS], F.bool_or("negative").alias("negative"), F.sum("n").alias("n"), F.sum("n_records").alias("n_records"), F.sum(F.when(F.col("kind") == "object", F.col("n"))).alias("objects"),
+        F.min("first").alias("first"), details.alias("details"),
+    )
     number = F.col("is_float") | F.col("is_int") | F.col("is_unsigned")
     families = sum((x.cast("int") for x in (number, F.col("is_boolean"), F.col("is_string"), F.col("is_array"), F.col("is_object"))), F.lit(0))
-    clash = (families > 1) | (~F.col("is_float") & F.col("is_unsigned") & F.col("negative"))
+    clash = (families > 1) | F.col("is_invalid") | (~F.col("is_float") & F.col("is_unsigned") & F.col("negative"))
     kind = F.when(clash, None).when(F.col("is_float"), "double").when(F.col("is_unsigned"), "decimal(20,0)").when(F.col("is_int"), "bigint").when(F.col("is_boolean"), "boolean").when(F.col("is_string"), "string").when(F.col("is_array"), "array").when(F.col("is_object"), "struct")
-    words = F.when(clash, F.concat(F.lit("type conflict: "), F.array_join(F.array_compact(F.array(*[F.when(F.col(f"is_{k}"), F.lit(k)) for k in kinds[1:]])), ", "))).when(families == 0, "only ever null")
-    return got.join(total).select("name", kind.alias("type"), (F.col("is_null") | (F.col("n_records") < F.col("total"))).alias("nullable"), words.alias("conflict"), "n_records", "first_record")
+    words = F.when(clash, F.concat(F.lit("type conflict at "), F.col("path"), F.lit(": "), F.array_join("details", "; "))).when(families == 0, "only ever null")
+    parent = F.regexp_replace("path", r'(\.\w+|\["(?:[^"\\]|\\.)*"\]|\[\])$', "")
+    above = got.select(F.col("path").alias("parent"), F.col("objects").alias("could"))
+    rows = got.withColumn("parent", F.when((F.col("path") != "$") & ~F.endswith("path", F.lit("[]")), parent)).join(above, "parent", "left")
+    absent = F.coalesce(F.col("n") < F.col("could"), F.lit(False))
+    return rows.select("path", kind.alias("type"), (F.col("is_null") | absent).alias("nullable"), words.alias("conflict"), "n_records", F.col("first.record").alias("first_record"), F.col("first.place").alias("first_place"))
 
 
-def render(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, json): rows as JSON with nulls kept and <, >, & and the two line separators escaped."""
-    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+def number_text(v: Column) -> Column:
+    """A finite float as JSON: plain from 1e-6 to below 1e21, else with an exponent of no leading zero. NaN and infinity fail the query."""
+    s = v.cast("string")
+    part = lambda i: F.regexp_extract(s, r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i)
+    fraction = F.when(part(2) == "0", "").otherwise(part(2))
+    exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    digits = F.concat(part(1), fraction)
+    point, size = F.length(part(1)) + exponent, F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    far = F.concat(part(1), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.when(exponent < 0, "e").otherwise("e+"), exponent.cast("string"))
+    wide = (v != 0) & ((F.abs(v) < F.lit(1e-6).cast("double")) | (F.abs(v) >= F.lit(1e21).cast("double")))
+    text = F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(wide, far).otherwise(plain))
+    finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.when(v.isNull(), None).when(finite, text).otherwise(F.raise_error(F.concat(s, F.lit(" has no spelling in JSON"))).cast("string"))
+
+
+def quoted(s: Column) -> Column:
+    """A text between quotes, with <, >, & and the two line separators escaped too."""
+    text = F.to_json(F.array(s))
+    text = F.substring(text, F.lit(2), F.length(text) - 2)
     for raw, escaped in (("<", "u003c"), (">", "u003e"), ("&", "u0026"), (" ", "u2028"), (" ", "u2029")):
         text = F.replace(text, F.lit(raw), F.lit("\\" + escaped))
-    return df.select(key, text.alias("json"))
+    return F.when(s.isNotNull(), text)
+
+
+def spelled(c: Column, t: T.DataType) -> Column:
+    """A value of any type as JSON text; null as null. Maps are in key order, their keys quoted; binaries are base64."""
+    name = t.simpleString()
+    if isinstance(t, T.StructType):
+        fields = [F.concat(F.lit("," * (k > 0)), quoted(F.lit(f.name)), F.lit(":"), spelled(c[f.name], f.dataType)) for k, f in enumerate(t.fields)]
+        out = F.concat(F.lit("{"), *fields, F.lit("}"))
+    elif isinstance(t, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: spelled(x, t.elementType)), ","), F.lit("]"))
+    elif isinstance(t, T.MapType):
+        pair = lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(":"), spelled(e["value"], t.valueType))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(sorted_entries(c), pair), ","), F.lit("}"))
+    elif name in ("double", "float"):
+        out = number_text(c)
+    elif name == "string":
+        out = quoted(c)
+    elif name == "binary":
+        out = F.concat(F.lit('"'), F.base64(c), F.lit('"'))
+    elif name == "variant":
+        out = F.to_json(c)
+    elif name == "date":
+        out = F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    elif name.startswith("timestamp"):
+        out = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"' if name.endswith("ntz") else 'Z"'))
+    else:
+        out = c.cast("string")
+    return F.coalesce(F.when(c.isNotNull(), out), F.lit("null"))
+
+
+def render(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, json): rows as JSON objects of the columns, in expressions alone."""
+    t = T.StructType([df.schema[c] for c in columns])
+    fields = [F.concat(F.lit("," * (k > 0)), quoted(F.lit(f.name)), F.lit(":"), spelled(F.col(f"`{f.name}`"), f.dataType)) for k, f in enumerate(t.fields)]
+    return df.select(key, F.concat(F.lit("{"), *fields, F.lit("}")).alias("json"))
+
+
+def render_table(df: DataFrame, key: str, group: str, columns: list[str]) -> DataFrame:
+    """(group, json): each group's rows, in order of ``key``, as one array of objects."""
+    rows = render(df, key, columns).join(df.select(key, group), key) if group != key else render(df, key, columns)
+    got = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key, "json"))).alias("rows"))
+    return got.select(group, F.concat(F.lit("["), F.array_join("rows.json", ","), F.lit("]")).alias("json"))
+
+
+def minified_size(text: Column) -> Column:
+    """Bytes of a JSON text without white space between tokens."""
+    return F.octet_length(F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\s+', "$1"))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,3 +170,26 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.exceptAll(b).select(F.lit("only_first").alias("side"))
     right = b.exceptAll(a).select(F.lit("only_second").alias("side"))
     return left.unionByName(right).groupBy("side").agg(F.count("*").alias("rows"))
+
+
+def verified(pairs: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """(key, path, reason) of the first difference of each row whose two JSON texts differ.
+
+    Absent and null fields equal zeros and numbers are compared by value, so what a lossless round trip may change is no difference.
+    """
+    ship(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                try:
+                    found = jsontext.difference(None if a is None else jsontext.parse(a), None if b is None else jsontext.parse(b))
+                except jsontext.Malformed as e:
+                    found = ("$", str(e))
+                if found:
+                    rows.append((k, *found))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], [key, "path", "reason"])
+
+    return pairs.select(key, first, second).mapInArrow(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, path string, reason string")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = {"tinyint": (-(1 << 7), (1 << 7) - 1), "smallint": (-(1 << 15), (1 << 15) - 1), "int": (-(1 << 31), (1 << 31) - 1), "bigint": (-(1 << 63), (1 << 63) - 1)}
+from ..functions.arrays import RANGES, unfit
+
 FLOATS = ("float", "double")
-FLOAT_MAX = 3.4028234663852886e38
 
 
 class Refused(ValueError):
@@ -33,7 +33,7 @@ def zero(kind: T.DataType) -> Column:
 
 
 def convertible(source: str, target: str) -> bool:
-    """Whether a type may be read as another: equal, between integers, integer to float, between floats."""
+    """Whether a type may be read as another: equal, between integers (decimal(20,0) is the unsigned one), integer to float, between floats."""
     if source == target:
         return True
     if source in RANGES:
@@ -43,13 +43,8 @@ def convertible(source: str, target: str) -> bool:
 
 def fits(column: Column, source: str, target: str) -> Column:
     """Whether each value survives the conversion; null does."""
-    ok = F.lit(True)
-    if target in RANGES and source in RANGES:
-        low, high = RANGES[target]
-        ok = column.between(low, high)
-    elif (source, target) == ("double", "float"):
-        ok = F.isnan(column) | (F.abs(column) <= FLOAT_MAX) | (F.abs(column) == float("inf"))
-    return F.coalesce(ok, F.lit(True))
+    checked = (target in RANGES and source in RANGES) or (source, target) == ("double", "float")
+    return F.coalesce(~unfit(column, target), F.lit(True)) if checked else F.lit(True)
 
 
 def reconcile(df: DataFrame, target: T.StructType) -> DataFrame:
@@ -90,3 +85,22 @@ def union_versions(frames: list[DataFrame], target: T.StructType) -> DataFrame:
     for df in frames[1:]:
         out = out.unionByName(reconcile(df, target))
     return out
+
+
+def flattened(df: DataFrame, link: str) -> DataFrame:
+    """Fields of the struct ``link`` beside those of the row, level by level; where both have a name the row's own is kept.
+
+    A page of further fields links to the next one by the same name.
+    """
+    while link in df.columns and isinstance(df.schema[link].dataType, T.StructType):
+        inner = df.schema[link].dataType
+        own = [c for c in df.columns if c != link]
+        df = df.select(*[f"`{c}`" for c in own], *[F.col(f"`{link}`")[f.name].alias(f.name) for f in inner.fields if f.name not in own])
+    return df
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    """A frame of one struct column as that struct's fields, as often as it is one: envelopes say nothing of their own."""
+    while len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.StructType):
+        df = df.select(f"`{df.columns[0]}`.*")
+    return df
