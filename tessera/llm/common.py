@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["LEAVING", "POWERS", "SLICE_BYTES", "U64", "Powers", "Scratch", "buckets", "components", "grouped", "mix", "partition", "prefix_hashes", "release", "ship", "slices", "text_bytes"]
+__all__ = ["FINE_BYTES", "LEAVING", "POWERS", "SLICE_BYTES", "U64", "Powers", "Scratch", "buckets", "components", "grouped", "mix", "partition", "prefix_hashes", "release", "ship", "slices", "text_bytes"]
 U64 = np.uint64
 #: Bytes of text handled at a time inside one Python worker.
 SLICE_BYTES = 2_000_000
+#: Bytes of text whose hashes a worker holds at a time: each byte takes some hundred bytes of arrays meanwhile.
+FINE_BYTES = 500_000
 #: Spark's setting that drops an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Seconds of grouped work after which a worker gives memory back.

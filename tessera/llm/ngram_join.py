@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buckets, components, grouped, partition, slices, text_bytes
+from .common import FINE_BYTES, U64, Scratch, buckets, components, grouped, partition, slices, text_bytes
 from .shingles import set_key, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -157,8 +157,7 @@ def signatures(docs: DataFrame, parts: int, words: int, percent: int) -> DataFra
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for piece in slices(batch, "text"):
-                data, at = text_bytes(piece.column("text"))
-                sets = shingle_sets(data, at, words)
+                sets = [s for part in slices(piece, "text", FINE_BYTES) for s in shingle_sets(*text_bytes(part.column("text")), words)]
                 keys = [set_key(s) for s in sets]
                 ids = piece.column("doc_id").to_pylist()
                 rows: list[tuple] = [(-1, d, t, len(s), k, None) for d, t, s, k in zip(ids, piece.column("text_key").to_pylist(), sets, keys, strict=True)]
@@ -244,7 +243,7 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", FINE_BYTES):
                 sets = shingle_sets(*text_bytes(piece.column("text")), words)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([shortened(s) for s in sets], pa.binary())], ["rep", "key", "shingles"])
 

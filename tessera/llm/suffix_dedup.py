@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEAVING, POWERS, U64, Powers, Scratch, buckets, grouped, mix, partition, prefix_hashes, slices, text_bytes
+from .common import FINE_BYTES, LEAVING, POWERS, U64, Powers, Scratch, buckets, grouped, mix, partition, prefix_hashes, slices, text_bytes
 from .suffix_array import repeated_starts
 
 LENGTH, GRAM = 200, 48
@@ -82,6 +82,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(sha).alias("key"), sha.alias("sha"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(MOST))).alias("id"), text.alias("text"))
 
 
+def _run_rows(piece: pa.RecordBatch, length: int) -> np.ndarray:
+    """(anchor, key, first window << 8 | windows - 1) of each run of the texts."""
+    data, at = text_bytes(piece.column("text"))
+    key = piece.column("key").to_numpy(zero_copy_only=False)
+    anchor, first, n = anchor_runs(data, at, length)
+    text = np.searchsorted(at, first, "right") - 1
+    return np.stack([anchor, key[text].view(U64), ((first - at[text]) << 8 | (n - 1)).astype(U64)], 1)
+
+
 def _anchors(parts: int, length: int):
     """Step 1: for each part of the anchors a blob of (anchor, key, first window << 8 | windows - 1)."""
 
@@ -89,15 +98,12 @@ def _anchors(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                data, at = text_bytes(piece.column("text"))
+                found = [_run_rows(part, length) for part in slices(piece, "text", FINE_BYTES)]
+                rows = np.concatenate(found)
                 key = piece.column("key").to_numpy(zero_copy_only=False)
-                anchor, first, n = anchor_runs(data, at, length)
-                text = np.searchsorted(at, first, "right") - 1
-                once = np.zeros(len(key), bool)
-                once[np.unique(key, return_index=True)[1]] = True
-                keep = once[text]
-                anchor, first, n, text = anchor[keep], first[keep], n[keep], text[keep]
-                rows = np.stack([anchor, key[text].view(U64), ((first - at[text]) << 8 | (n - 1)).astype(U64)], 1)
+                if len(np.unique(key)) < len(key):  # equal texts of a slice have equal rows
+                    rows = np.unique(rows, axis=0)
+                anchor = rows[:, 0]
                 part = ((anchor >> U64(40)) % U64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(parts + 1))

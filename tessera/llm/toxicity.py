@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import POWERS, U64, mix, partition, prefix_hashes, ship, slices, text_bytes
+from .common import FINE_BYTES, POWERS, U64, mix, partition, prefix_hashes, ship, slices, text_bytes
 from .shingles import LOWER, word_spans
 
 #: Labelled rows that a classifier is fitted on at most: those of the least hashes of doc_id.
@@ -85,7 +85,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_BYTES):
                 data, at = text_bytes(part.column("text"))
                 code = CLASS[data]
                 code[at[(at < len(data))]] = 0
@@ -329,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndar
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             channel, total, docs_seen = Channel(counts), np.zeros(BINS, np.int64), 0
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", FINE_BYTES):
                     bins, text = worded(part, channel)
                     keep = bins >= 0
                     if which is not None:
@@ -352,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndar
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(counts)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_BYTES):
                 e = evidence(*worded(part, channel), weight, part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), part.column("toxic")], ["a", "b", "toxic"])
 
@@ -417,7 +417,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), most:
         counts, weight, beta = shared.value
         channel = Channel(counts)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FINE_BYTES):
                 e = evidence(*worded(part, channel), weight, part.num_rows)
                 z = beta[0] + e @ beta[1:]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id_"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), *(part.column(f.name) for f in fields)], ["doc_id", "score", *(f.name.removesuffix("_carried") for f in fields)])
