@@ -1,5 +1,8 @@
 """Pages, pieces, toxicity and the pipeline."""
 
+import re
+from html import unescape
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -72,6 +75,26 @@ def test_formulas_stay():
     assert html_text.main_text(page) == "Here x=2 holds"
 
 
+def naive(html):
+    """The given pages' one article without its advert, cut at block tags."""
+    body = re.sub(r'<!--.*?-->|<(script|style)>.*?</\1>|<div class="ad">.*?</div>', "", re.search(r"<article>(.*?)</article>", html, re.S)[1], flags=re.S)
+    blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|section|blockquote|table|tr)\b[^>]*>", body)
+    lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_of_a_table_are_read_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(-1))
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    for row in pages.collect():
+        assert got[row.page_id].text == naive(row.html) and got[row.page_id].n_chars == len(naive(row.html))
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>{PROSE} {k}</p><div class='share'><a href=x>share</a></div>" for k in range(5000))
+    assert html_text.main_text(f"<nav>menu</nav><article>{body}</article>").split("\n") == [f"{PROSE} {k}" for k in range(5000)]
+
+
 TEXTS = ["", " ", "  a  b ", "\n\n x", "日本語 text 😀 é", "a" * 300, "hello" * 60 + "  x", "tab\there", "don't 12345 -- !!!! ok", " z \x00", "the quick brown fox " * 50]
 
 
@@ -161,6 +184,34 @@ def test_disguises_are_undone(word):
     assert plain[word] in toxicity.Channel(counts).restored(f"so {word} there").split()
 
 
+def readings(channel, word):
+    """Every path through a word's lattice: (score, letters)."""
+    paths = [(0.0, "", (0, 0))]
+    for c in word.lower():
+        step = []
+        for score, text, (x, y) in paths:
+            if c.isalpha():
+                options = [(c, 0.0)] + ([("", -toxicity.REPEAT)] if text[-1:] == c else [])
+            else:
+                stands = toxicity.STANDS_FOR.get(c)
+                options = [(s, -toxicity.SUBSTITUTE) for s in stands or ""] + [("", -toxicity.DROP if stands or stands is None else -toxicity.LEAVE_OUT)]
+            for s, cost in options:
+                if s:
+                    k = toxicity.letter_class(s)
+                    step.append((score + cost + channel.log[x][y][k], text + s, (y, k)))
+                else:
+                    step.append((score + cost, text, (x, y)))
+        paths = step
+    return [(score + channel.log[x][y][0], text) for score, text, (x, y) in paths]
+
+
+@pytest.mark.parametrize("word", ["1d10t", "sh1|t", "a$$", "iiidiooot", "m.0-r_0n", "€£¡(x", "l00ser!", "aab11bb", "é1é", "7r4sh", "9^9"])
+def test_viterbi_takes_the_best_path(channel, word):
+    every = readings(channel, word)
+    best = max(score for score, _ in every)
+    assert channel.viterbi(word) in {text for score, text in every if score > best - 1e-9}
+
+
 @pytest.fixture(scope="module")
 def channel():
     counts = np.zeros((28, 28, 28))
