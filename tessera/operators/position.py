@@ -9,6 +9,8 @@ from ..functions.scalar import BLOCK, GROUP
 
 #: Rows that one window partition is meant to sort, and the most stretches: beyond, stretches grow and their sort spills.
 STRETCH, STRETCHES = 100_000, 1024
+#: Quantiles that come with the count.
+FEW = 64
 
 
 def with_positions(df: DataFrame, order_by: list[str], pos: str = "pos", row_group: str = "row_group", block: str | None = "block", stretch: int = STRETCH) -> DataFrame:
@@ -18,12 +20,13 @@ def with_positions(df: DataFrame, order_by: list[str], pos: str = "pos", row_gro
     each and shifted by the sizes of those before. Only the bounds and sizes, ``STRETCHES`` of each at most, reach the
     driver. The keys must order the rows wholly for the result to be the same every time.
     """
-    n = df.count()
-    cuts = min(STRETCHES, -(-n // stretch))
-    lead = F.col(order_by[0])
+    lead = _ordinal(df, order_by[0])
+    seen = df.agg(F.count("*"), F.percentile_approx(lead, [i / FEW for i in range(1, FEW)], 10_000)).first()
+    cuts = min(STRETCHES, -(-seen[0] // stretch))
     part, shift = F.lit(0), {0: 0}
     if cuts > 1:
-        got = df.agg(F.percentile_approx(lead, [i / cuts for i in range(1, cuts)], 10_000)).first()[0]
+        # a few quantiles come with the count; a large table asks for more
+        got = seen[1][FEW // cuts - 1 :: max(1, FEW // cuts)] if cuts <= FEW else df.agg(F.percentile_approx(lead, [i / cuts for i in range(1, cuts)], 10_000)).first()[0]
         bounds = sorted({x for x in got or () if x is not None})
         part = F.coalesce(_place(lead, bounds, 0), F.lit(-1))
         total, shift = 0, {}
@@ -40,6 +43,17 @@ def with_positions(df: DataFrame, order_by: list[str], pos: str = "pos", row_gro
     return out.withColumn(block, F.floor(F.col(pos) % GROUP / BLOCK)) if block else out
 
 
+def _ordinal(df: DataFrame, key: str) -> Column:
+    """A number that ascends with the key; texts and binaries by their first seven bytes."""
+    name = df.schema[key].dataType.simpleString()
+    if name in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if name == "boolean":
+        return F.col(key).cast("int")
+    plain = name in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or name.startswith("decimal")
+    return F.col(key) if plain else F.lit(0)
+
+
 def _place(lead: Column, bounds: list, first: int) -> Column:
     """How many of the ascending bounds are less than a value, by halving; null for a null value."""
     if not bounds:

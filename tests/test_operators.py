@@ -379,6 +379,17 @@ def test_bits_of_doubles(spark):
     assert [r.b for r in got] == np.array(values).view(np.int64).tolist()
 
 
+@pytest.mark.parametrize("key", ["k", "t", "x", "b", "d"])
+def test_positions_in_stretches(spark, key):
+    r = np.random.default_rng(2)
+    rows = [(int(k) if k % 9 else None, "é" * int(k % 3) + str(k), float(k % 50) - 9, bool(k % 2), k) for k in r.integers(0, 300, 2000).tolist()]
+    df = spark.createDataFrame([(*x[:4], float(i), i) for i, x in enumerate(rows)], "k long, t string, x double, b boolean, d double, i long").withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("i") % 40).cast("int")))
+    got = with_positions(df, [key, "i"], stretch=100).select(key, "i", "pos", "row_group", "block").orderBy("pos").collect()
+    want = df.select(key, "i").orderBy(key, "i").collect()
+    assert [(x[0], x.i) for x in got] == [(x[0], x.i) for x in want] and [x.pos for x in got] == list(range(2000))
+    assert with_positions(df.limit(0), [key, "i"]).count() == 0
+
+
 def test_corpus(spark):
     s = corpus.receipts(spark, 300)
     assert s.where("net + vat <> gross").count() == 0
