@@ -41,8 +41,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     (the sum of min(own length, limit)), total_docs, total_tokens. The smallest length whose
     docs_below + n_docs reaches q * total_docs is the q-quantile.
     """
-    scratch = Scratch(hist.sparkSession)
-    hist = scratch.save(hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK)), "lengths")
+    hist = Scratch(hist.sparkSession).save(hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK)), "lengths")
     whole = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
@@ -59,19 +58,21 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def answer(sums: DataFrame, limits: list[int], quantiles: list[float]) -> DataFrame:
-    """(kind, parameter, value) for any context limits and quantiles, from :func:`suffix_sums` alone."""
-    parts = []
-    for limit in limits:
-        over = F.col("length") > limit
-        kept = F.sum(F.when(over, F.lit(limit) * F.col("n_docs")).otherwise(F.col("n_tokens")))
-        parts.append(sums.agg(F.lit("truncated_total").alias("kind"), F.lit(float(limit)).alias("parameter"), kept.cast("long").alias("value")))
-    for q in quantiles:
-        reach = F.col("docs_below") + F.col("n_docs") >= F.lit(q) * F.col("total_docs")
-        parts.append(sums.agg(F.lit("quantile").alias("kind"), F.lit(float(q)).alias("parameter"), F.min(F.when(reach, F.col("length"))).cast("long").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(kind, parameter, value) for any context limits and quantiles, looked up in :func:`suffix_sums`.
+
+    A limit is answered by the least length that reaches it: what is at least so long counts as the limit, all else whole.
+    The q-quantile is the least length that docs_below + n_docs says q of all documents reach. One pass for all; nulls of an empty table.
+    """
+    found = [F.min(F.when(F.col("length") >= limit, F.struct("length", "docs_at_least", "tokens_at_least"))).alias(f"limit_{k}") for k, limit in enumerate(limits)]
+    found += [F.min(F.when(F.col("docs_below") + F.col("n_docs") >= F.lit(q) * F.col("total_docs"), F.col("length"))).alias(f"quantile_{k}") for k, q in enumerate(quantiles)]
+    one = sums.agg(F.max("total_tokens").alias("total"), *found)
+    rows = []
+    for k, limit in enumerate(limits):
+        at = F.col(f"limit_{k}")
+        kept = F.col("total") - F.coalesce(at["tokens_at_least"] - limit * at["docs_at_least"], F.lit(0))
+        rows.append(F.struct(F.lit("truncated_total").alias("kind"), F.lit(float(limit)).alias("parameter"), kept.cast("long").alias("value")))
+    rows += [F.struct(F.lit("quantile").alias("kind"), F.lit(float(q)).alias("parameter"), F.col(f"quantile_{k}").cast("long").alias("value")) for k, q in enumerate(quantiles)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

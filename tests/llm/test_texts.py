@@ -3,7 +3,10 @@
 import array
 import collections
 import hashlib
+import itertools
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, secrets, suffix_array, suffix_dedup, token_counts, tokens
 
@@ -163,6 +167,25 @@ def test_redaction_keeps_the_rest(spark):
     assert any(t and t.startswith("[SECRET]! [SECRET] token:abc [SECRET]") for _, t in rows)
 
 
+def test_texts_of_many_secrets(spark):
+    # 64 and 4096 are the sizes of pieces; é counts as one
+    rows = [(n, "é token=abcdef1 " * n) for n in (1, 63, 64, 65, 4096, 30_000)] + [(7, "x" * 4090 + " secret=abcdefgh secret=" + "0a" * 5000 + " é")]
+    began = time.time()
+    got = secrets.digest(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got), key=str) == brute_secrets(rows)
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert all(clean[n] == "é [SECRET] " * n for n, _ in rows[:-1]) and clean[7] == "x" * 4090 + " [SECRET] [SECRET] é"
+    assert time.time() - began < 120
+
+
+def test_running_values(spark):
+    rows = [([int(x) for x in np.random.default_rng(n).integers(-5, 9, n)],) for n in (0, 1, 63, 64, 65, 200, 4097)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    for name, step, fold in (("sum", lambda a, x: a + x, lambda a, x: a + x), ("most", lambda a, x: F.greatest(a, x), max)):
+        for r in df.select("a", secrets.running(F.col("a"), F.lit(0), step).alias(name)).collect():
+            assert r[name] == list(itertools.accumulate(r.a, fold, initial=0))[1:]
+
+
 def test_a_repeated_doc_id_loses_no_link(spark):
     a, b = prose(1, 100), prose(2, 100)
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (-5, prose(3, 50)), (-5, None), (2**60, prose(3, 50) + " y")]
@@ -259,4 +282,7 @@ def test_token_counts(spark):
     sums = token_counts.token_counts(frame(spark, token_rows()))
     found = {(r.kind, r.parameter): r.value for r in token_counts.answer(sums, [10, 1000], [0.5]).collect()}
     assert found == {("truncated_total", 10.0): sum(min(n, 10) for n in lengths), ("truncated_total", 1000.0): sum(min(n, 1000) for n in lengths), ("quantile", 0.5): sorted(lengths)[-(-len(lengths) // 2) - 1]}
+    limits, quantiles = [0, 1, *sorted(set(lengths)), 7, 10**6], [0.01, 0.25, 0.9, 1.0]
+    again = {(r.kind, r.parameter): r.value for r in token_counts.answer(sums, limits, quantiles).collect()}
+    assert again == {("truncated_total", float(n)): sum(min(x, n) for x in lengths) for n in limits} | {("quantile", q): sorted(lengths)[math.ceil(q * len(lengths)) - 1] for q in quantiles}
     assert token_counts.token_counts(frame(spark, [])).count() == 0
