@@ -11,8 +11,9 @@
    the short ones merged by a heap, and members with T - L occurrences are probed for
    in the long lists by binary search. The leader is in every chunk and is searched first;
    then every class that isn't in its component yet.
-4. Between chunks of one block, classes outside the block's largest component are
-   searched in all its chunks.
+4. A block of several chunks is cut by the sizes of its sets first: two sets that link are of
+   one level of sizes or of neighbouring ones. Classes outside the block's largest component
+   are searched in the other chunks of these levels.
 
 No step lists the pairs of a group, and a search leaves out what is already linked
 with it, so copies cost one link each. All links that components need are found.
@@ -21,6 +22,7 @@ with it, so copies cost one link each. All links that components need are found.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,10 @@ from .shingles import set_key, shingle_sets
 WORDS, PERCENT = 5, 80
 #: Classes of a chunk, and the weight of list lengths in DivideSkip's choice of L.
 CHUNK, MU = 256, 0.0085
+#: By how much more than linked sets' sizes can differ a level of sizes is wider, so that rounding moves no link two levels off.
+WIDER = 1.008
+#: Numbers that a level's chunks may have.
+LEVEL = 1 << 32
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -312,28 +318,36 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     one = Window.partitionBy("key")
     shared = shared.withColumn("all", F.sum("n_tokens").over(one)).where(F.col("all") >= least)
     below = F.sum("n_tokens").over(one.orderBy("n_tokens", "block").rowsBetween(Window.unboundedPreceding, 0))
-    shared = shared.withColumn("below", below).where(F.col("below") * 2 >= least).select("block", "rep", "key")
+    shared = shared.withColumn("below", below).where(F.col("below") * 2 >= least).select("block", "rep", "key", F.floor(F.log("n") / math.log(100 / percent * WIDER)).cast("long").alias("level"))
     joined = scratch.save(shared, "blocks")
-    sizes = joined.groupBy("block").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("first")).where("m > 1")
-    sizes = sizes.select("block", F.ceil(F.col("m") / chunk).alias("chunks"), F.col("first.key").alias("leader"))
-    joined = joined.join(sizes, "block").withColumn("leads", F.col("key") == F.col("leader")).drop("leader")
+    levels = joined.groupBy("block", "level").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("first"))
+    whole = levels.groupBy("block").agg(F.sum("m").alias("m"), F.min("first").alias("first")).where("m > 1")
+    whole = whole.select("block", (F.col("m") > chunk).alias("large"), F.col("first.key").alias("leader"))
+    joined = joined.join(whole, "block").withColumn("leads", F.col("key") == F.col("leader")).drop("leader")
+    # chunks of large blocks: of each level as many as its classes fill, numbered level by level
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / chunk) - 1), lambda k: F.col("level") * LEVEL + k)
+    cut = scratch.save(levels.join(whole.where("large").select("block"), "block").select("block", "level", numbers.alias("numbers")), "levels")
+    near = cut.select("block", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"), "numbers").groupBy("block", "level").agg(F.flatten(F.collect_list("numbers")).alias("near"))
     joined = scratch.save(joined, "members")
     scratch.drop("blocks", "signed")
 
     wanted = joined.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = whole_sets(texts, words).join(joined, ["rep", "key"])
-    own = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks"))
-    sets = scratch.save(sets.select("block", "chunks", "leads", own.alias("own"), F.concat(big_endian(F.col("rep")), "key").alias("name"), "shingles"), "sets")
-    dealt = sets.withColumn("chunk", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))))
+    sets = sets.join(cut, ["block", "level"], "left")
+    own = F.when(F.col("large"), F.element_at("numbers", (F.pmod(F.xxhash64(F.lit(7), "key"), F.size("numbers")) + 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+    sets = scratch.save(sets.select("block", "large", "level", "leads", own.alias("own"), F.concat(big_endian(F.col("rep")), "key").alias("name"), "shingles"), "sets")
+    every = cut.groupBy("block").agg(F.flatten(F.collect_list("numbers")).alias("every"))
+    leaders = sets.where("leads AND large").join(every, "block").withColumn("chunk", F.explode("every")).where("chunk <> own").drop("every")
+    dealt = sets.withColumn("chunk", F.col("own")).unionByName(leaders)
     edges = scratch.save(dealt.select("block", "chunk", "leads", "name", "shingles").groupBy("block", "chunk").applyInPandas(search_chunk(percent), "a binary, b binary").distinct(), "edges")
 
     linked = components(scratch, edges, "first")
-    large = sets.where("chunks > 1").join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    large = large.select("block", "chunks", "own", "name", "component", "shingles")
+    large = sets.where("large").join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    large = large.select("block", "level", "own", "name", "component", "shingles")
     main = large.groupBy("block", "component").agg(F.count("*").alias("m")).groupBy("block").agg(F.max(F.struct("m", "component")).alias("top"))
     asking = large.join(main.select("block", F.col("top.component").alias("main")), "block").where("component <> main").drop("main")
-    asking = asking.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("chunk <> own").withColumn("asks", F.lit(True))
+    asking = asking.join(near, ["block", "level"]).withColumn("chunk", F.explode("near")).drop("near").where("chunk <> own").withColumn("asks", F.lit(True))
     between = large.withColumn("chunk", F.col("own")).withColumn("asks", F.lit(False)).unionByName(asking)
     between = between.select("block", "chunk", "name", "component", "shingles", "asks").groupBy("block", "chunk").applyInPandas(search_between(percent), "a binary, b binary")
     found = scratch.save(between.distinct(), "between")
@@ -347,7 +361,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         *(["text_key", "key", "keeper"] if keys else []),
     )
     out = scratch.save(out, "result")
-    scratch.drop("documents", "classes", "edges", "between")
+    scratch.drop("documents", "classes", "edges", "between", "levels")
     return out
 
 

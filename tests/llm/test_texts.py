@@ -82,6 +82,15 @@ def test_join_finds_every_link(spark, chunk):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(documents())
 
 
+def test_large_blocks_are_cut_by_size(spark):
+    # one shared passage, sets of many sizes, chains of copies that link only step by step across levels of size
+    passage = prose(50, 60)
+    rows = [(k, f"{passage} {prose(51, 10 + 3 * k)}") for k in range(60)] + [(100 + k, f"{passage} {prose(200 + k, 8 + k % 40)}") for k in range(60)]
+    rows += [(300 + k, t + " end") for k, t in rows[::4]]
+    got = ngram_join.ngram_jaccard_join(frame(spark, rows), chunk=6).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
     assert ngram_join.ngram_jaccard_join(frame(spark, [(1, None), (2, "")])).count() == 2
