@@ -1,6 +1,7 @@
 """Pages, pieces, toxicity and the pipeline."""
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -266,6 +267,15 @@ def test_disguises_are_scored(spark):
     assert len(got) == len(odd) and all(r.predicted for r in got)
 
 
+def test_texts_without_evidence(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, " \n"), (3, "q" * 100_000), (4, "fine")]
+    docs = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], "doc_id long, text string, score int, held_out string")
+    got = toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and len({r.score for r in got}) == 1
+    assert all(0 <= r.score < toxicity.THRESHOLD and r.predicted == 0 for r in got)
+    assert {r.doc_id: r.held_out for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows}
+
+
 def test_held_out_scores(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     words = ["vile", "rotten"]
