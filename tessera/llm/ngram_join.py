@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 80
 CHUNK, MU = 256, 0.0085
 #: By how much more than linked sets' sizes can differ a level of sizes is wider, so that rounding moves no link two levels off.
 WIDER = 1.008
+#: Bits of the bitmap that says whose texts are needed again (2 MB).
+FILTER = 1 << 24
 #: Numbers that a level's chunks may have.
 LEVEL = 1 << 32
 
@@ -243,17 +245,34 @@ def lead(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"class": owner[start].view(np.int64), "block": leader[start].view(np.int64), "n_tokens": np.diff(np.r_[start, len(leader)])})
 
 
-def whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(rep, key, shingles) of each row; 48 bits of a shingle's hash tell it from the few others of a chunk."""
+def held_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the doc_ids in ``wanted``: FILTER bits, whatever their number."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = wanted.select(F.floor(at / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER // 64, np.int64)
+    for r in words.collect():  # FILTER / 64 rows at most
+        out[r.word] = r.bits
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def whole_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(rep, key, shingles) of each row whose doc_id may be in ``wanted``; 48 bits of a shingle's hash tell it from the few others of a chunk.
+
+    Texts are told apart where they are read, by a bitmap of bounded size; the join that follows is exact.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(held_bits(wanted)))
 
     @partition
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7))) & 1 > 0))
             for piece in slices(batch, "text", FINE_BYTES):
                 sets = shingle_sets(*text_bytes(piece.column("text")), words)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([shortened(s) for s in sets], pa.binary())], ["rep", "key", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, key binary, shingles binary")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("at"))
+    return rows.mapInArrow(run, "rep long, key binary, shingles binary")
 
 
 def found_links(name: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
@@ -332,8 +351,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     scratch.drop("blocks", "signed")
 
     wanted = joined.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = whole_sets(texts, words).join(joined, ["rep", "key"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = whole_sets(texts, words, wanted).join(joined, ["rep", "key"])
     sets = sets.join(cut, ["block", "level"], "left")
     own = F.when(F.col("large"), F.element_at("numbers", (F.pmod(F.xxhash64(F.lit(7), "key"), F.size("numbers")) + 1).cast("int"))).otherwise(F.lit(0).cast("long"))
     sets = scratch.save(sets.select("block", "large", "level", "leads", own.alias("own"), F.concat(big_endian(F.col("rep")), "key").alias("name"), "shingles"), "sets")
