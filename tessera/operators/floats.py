@@ -19,6 +19,13 @@ def scaled(v: Column, power: Column) -> Column:
     return F.when((whole / power == v) & ~minus_zero, whole.try_cast("long"))
 
 
+def by_value(v: Column, power: Column) -> Column:
+    """:func:`scaled` by value, as the SQL twins compare: minus zero is the integer 0, and products count from -SPAN to SPAN, both exclusive."""
+    product = v * power
+    i = F.rint(product)
+    return F.when((F.abs(product) < SPAN) & (i / power == v), i.try_cast("long"))
+
+
 def _sampled(cells: DataFrame) -> DataFrame:
     """Adds at, the sample's number of a sampled value (null for others): every n-th of a group, 32 at most."""
     w = Window.partitionBy("column_name", "row_group")
@@ -42,13 +49,13 @@ def exponents(cells: DataFrame, most: int = EXPONENT, exact=scaled) -> DataFrame
     return got.groupBy("column_name", "row_group").agg(best).select("column_name", "row_group", "best.*")
 
 
-def with_exponent(cells: DataFrame) -> DataFrame:
+def with_exponent(cells: DataFrame, exact=scaled) -> DataFrame:
     """Adds each group's exponent, as :func:`exponents` chooses it, by windows alone.
 
     A sampled value's mask says which exponents give it back; the least exponent that most masks have is the group's.
     """
     w = Window.partitionBy("column_name", "row_group")
-    mask = sum((F.when(scaled(F.col("v"), F.lit(p)).isNotNull(), F.lit(1 << e)).otherwise(F.lit(0)) for e, p in _powers(EXPONENT)), F.lit(0))
+    mask = sum((F.when(exact(F.col("v"), F.lit(p)).isNotNull(), F.lit(1 << e)).otherwise(F.lit(0)) for e, p in _powers(EXPONENT)), F.lit(0))
     rows = _sampled(cells).withColumn("mask", F.when(F.col("at").isNotNull(), mask))
     masks = F.collect_list("mask").over(w)
     hits = lambda e: F.aggregate(masks_, F.lit(0), lambda a, m: a + F.when(m.bitwiseAND(F.lit(1 << e)) != 0, 1).otherwise(0))
@@ -58,40 +65,40 @@ def with_exponent(cells: DataFrame) -> DataFrame:
     return rows.withColumn("exponent", F.max("own").over(w)).drop("at", "mask", "masks", "own")
 
 
-def decimals(cells: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+def decimals(cells: DataFrame, chosen: DataFrame | None = None, exact=scaled) -> DataFrame:
     """Adds exponent, is_exception and i: the integer, or the last one before an exception (0 before any).
 
     The exponent is each group's own unless ``chosen`` (column_name, row_group, exponent) says another.
     """
-    rows = with_exponent(cells) if chosen is None else cells.join(chosen.select("column_name", "row_group", "exponent"), ["column_name", "row_group"])
+    rows = with_exponent(cells, exact) if chosen is None else cells.join(chosen.select("column_name", "row_group", "exponent"), ["column_name", "row_group"])
     power = F.element_at(F.array(*[F.lit(p) for _, p in _powers(EXPONENT)]), F.col("exponent") + 1)
-    own = scaled(F.col("v"), power)
+    own = exact(F.col("v"), power)
     w = Window.partitionBy("column_name", "row_group").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("own", own)
     return rows.withColumn("is_exception", F.col("own").isNull()).withColumn("i", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit(0))).drop("own")
 
 
-def decimal_sizes(cells: DataFrame) -> DataFrame:
+def decimal_sizes(cells: DataFrame, exact=scaled) -> DataFrame:
     """(column_name, row_group, n, exponent, exceptions, size): bytes of the integers, exceptions counted beside them.
 
     Exponents, integers and exceptions are windows and aggregates over the same groups: no join, no further shuffle.
     """
-    rows = decimals(cells).select("column_name", "pos", "row_group", "block", F.col("i").alias("v"), "exponent", "is_exception")
+    rows = decimals(cells, exact=exact).select("column_name", "pos", "row_group", "block", F.col("i").alias("v"), "exponent", "is_exception")
     blocks = (F.first("exponent").alias("exponent"), F.count_if("is_exception").alias("exceptions"))
     groups = (F.first("exponent").alias("exponent"), F.sum("exceptions").alias("exceptions"))
     return transform_costs(rows, blocks, groups).select("column_name", "row_group", "n", "exponent", "exceptions", (F.col("size") + 6).alias("size"))
 
 
-def worth_converting(cells: DataFrame) -> DataFrame:
+def worth_converting(cells: DataFrame, exact=scaled) -> DataFrame:
     """(column_name, row_group, exponent, reached, sampled, worth): whether the sample lets decimals be smaller than bits.
 
     Half of the sample must be exact; then the integers' spread, and 76 bits for each exception, must not be over the spread
     of the bit patterns (here of the values' order-preserving patterns as decimals, which a double's bits are as a long).
     """
     sample = _sampled(cells).where("at IS NOT NULL").drop("block")
-    rows = sample.join(exponents(cells), ["column_name", "row_group"])
+    rows = sample.join(exponents(cells, exact=exact), ["column_name", "row_group"])
     power = F.element_at(F.array(*[F.lit(p) for _, p in _powers(EXPONENT)]), F.col("exponent") + 1)
-    rows = rows.withColumn("i", scaled(F.col("v"), power)).withColumn("bits", double_bits(F.col("v")))
+    rows = rows.withColumn("i", exact(F.col("v"), power)).withColumn("bits", double_bits(F.col("v")))
     got = rows.groupBy("column_name", "row_group", "exponent", "reached", "sampled").agg(*[f(c).alias(f"{n}_{c}") for c in ("i", "bits") for n, f in (("low", F.min), ("high", F.max))])
     far = lambda c: F.try_subtract(F.col(f"high_{c}"), F.col(f"low_{c}"))
     # a spread over the largest signed number has 64 bits
