@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bit_length
-from .integers import transform_costs
+from .integers import _whole, transform_costs
 
 EXPONENT, SAMPLE, SPAN = 18, 32, 1 << 51
 
@@ -28,10 +28,10 @@ def by_value(v: Column, power: Column) -> Column:
 
 def _sampled(cells: DataFrame) -> DataFrame:
     """Adds at, the sample's number of a sampled value (null for others): every n-th of a group, 32 at most."""
-    w = Window.partitionBy("column_name", "row_group")
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / SAMPLE))
-    at = F.row_number().over(w.orderBy("pos")) - 1
-    rows = cells.withColumn("step", step).withColumn("at", at)
+    w = Window.partitionBy("column_name", "row_group").orderBy("pos")
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(_whole(w)) / SAMPLE))
+    at = F.row_number().over(w) - 1
+    rows = cells.withColumns({"step": step, "at": at})
     return rows.withColumn("at", F.when((F.col("at") % F.col("step") == 0) & (F.col("at") / F.col("step") < SAMPLE), F.col("at"))).drop("step")
 
 
@@ -54,7 +54,7 @@ def with_exponent(cells: DataFrame, exact=scaled) -> DataFrame:
 
     A sampled value's mask says which exponents give it back; the least exponent that most masks have is the group's.
     """
-    w = Window.partitionBy("column_name", "row_group")
+    w = _whole(Window.partitionBy("column_name", "row_group").orderBy("pos"))
     mask = sum((F.when(exact(F.col("v"), F.lit(p)).isNotNull(), F.lit(1 << e)).otherwise(F.lit(0)) for e, p in _powers(EXPONENT)), F.lit(0))
     rows = _sampled(cells).withColumn("mask", F.when(F.col("at").isNotNull(), mask))
     masks = F.collect_list("mask").over(w)

@@ -106,7 +106,9 @@ def test_columns_of_many_tables_have_no_bound_on_rows(spark, monkeypatch):
 
     few = spark.createDataFrame([("c", 36_000_000, 100_000_000)], "column_name string, n long, size long")
     monkeypatch.setattr(registry, "cells_of", lambda *a: None)
-    monkeypatch.setattr(integers, "sizes", lambda cells: few)
+    monkeypatch.setattr(registry, "widths_of", lambda *a: None, raising=False)
+    monkeypatch.setattr(integers, "costs_of", lambda widths: None, raising=False)
+    monkeypatch.setattr(integers, "sizes", lambda costs: few)
     assert registry.QUERIES["cell_budget"](spark, "").first().believed  # 3.6e9 cells, 6.4e9 allowed
     n, size = F.lit(1 << 23).cast("long"), F.lit(1 << 30).cast("long")
     got = spark.range(1).select(scalar.within_budget(n, F.lit(1), size).alias("table"), scalar.cells_within_budget(n, F.lit(1), size).alias("tables")).first()
@@ -120,6 +122,30 @@ def test_positions_over_many_stretches(spark):
     assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got)
 
 
+def test_widths_of_rows_are_those_of_cells(spark):
+    from tessera.operators.position import cells
+
+    r = np.random.default_rng(5)
+    wild = [int(x) if x % 7 else None for x in r.integers(-(2**63), 2**63 - 1, 9000)]
+    df = spark.createDataFrame([(k, int(x), w) for k, (x, w) in enumerate(zip(r.integers(-50, 1000, 9000), wild, strict=True))], "k long, small int, wild long")
+    rows = with_positions(df, ["k"], grouped=True)
+    got, want = integers.row_widths(rows, ["k", "small", "wild"]), integers.block_widths(cells(rows, ["k", "small", "wild"]))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # one sort by position for all columns, no cell is sorted
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [row_group" in plan and "Sort [column_name" not in plan
+
+
+def test_tasks_and_expressions_do_not_grow_with_the_rows(spark):
+    from tessera.operators import position
+
+    df = spark.range(3000).select(F.col("id").alias("a"))
+    assert [position.parts(df, n) for n in (0, 36_000_000, 216_000_000)] == [1, 90, 540]
+    plan = with_positions(df, ["a"], stretch=10)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN") < 10
+    assert [r.pos for r in with_positions(df, ["a"], stretch=10).orderBy("a").collect()] == list(range(3000))
+
+
 def test_positions_with_null_keys_and_no_rows(spark):
     df = spark.createDataFrame([(None, 1), (2, 2), (None, 3)], "a long, b long")
     assert sorted(r.pos for r in with_positions(df, ["a", "b"], stretch=1).collect()) == [0, 1, 2]
