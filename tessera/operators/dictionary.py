@@ -21,7 +21,9 @@ def build(cells: DataFrame) -> DataFrame:
     A column of more than 65536 values never pays, so it gets no dictionary; what is numbered in one task is bounded by that.
     """
     got = values(cells)
-    small = got.groupBy("column_name").agg(F.count("*").alias("entries")).where(F.col("entries") <= ENTRIES).select("column_name")
+    # uses and positions are asked for, always true, so that both sides read the values of one exchange: the cells are made once
+    counts = got.groupBy("column_name").agg(F.count("*").alias("entries"), F.sum("uses").alias("uses"), F.min("first_pos").alias("first_pos"))
+    small = counts.where((F.col("entries") <= ENTRIES) & (F.col("uses") > 0) & F.col("first_pos").isNotNull()).select("column_name")
     return got.join(small, "column_name", "left_semi").withColumn("id", F.row_number().over(Window.partitionBy("column_name").orderBy("first_pos")) - 1)
 
 
@@ -31,15 +33,17 @@ def decide(cells: DataFrame) -> DataFrame:
     A column is refused if over 7/8 of its first 1024 rows are new values, if over half of its rows are, if it has
     more than 65536 values or only empty ones, and if ids, entries and their counts don't cost less than the texts.
     """
-    size = F.octet_length("v") + length_prefix(F.octet_length("v"))
-    rows = cells.where("v IS NOT NULL").groupBy("column_name").agg(F.count("*").alias("n"), F.sum(size).alias("raw"), F.max(F.octet_length("v")).alias("longest"))
-    entry = F.octet_length("value") + length_prefix(F.octet_length("value"))
-    entries = values(cells).groupBy("column_name").agg(F.count("*").alias("entries"), F.sum(entry).alias("added"), F.count_if(F.col("first_pos") < SAMPLE).alias("early"))
+    size = F.octet_length("value") + length_prefix(F.octet_length("value"))
+    # the values and their uses say what the rows do: cells are made and grouped once
+    rows = values(cells).groupBy("column_name").agg(
+        F.sum("uses").alias("n"), F.sum(F.col("uses") * size).alias("raw"), F.max(F.octet_length("value")).alias("longest"),
+        F.count("*").alias("entries"), F.sum(size).alias("added"), F.count_if(F.col("first_pos") < SAMPLE).alias("early"),
+    )
     width = bit_length(F.col("entries") - 1)
     ids = F.floor((F.col("n") * width + 7) / 8) + F.floor((F.col("n") + 127) / 128) + 1
     cost = F.col("added") + ids + length_prefix(F.col("entries")) + 1
     refused = (F.col("early") > SAMPLE * 7 // 8) | (F.col("entries") > F.floor(F.col("n") / 2)) | (F.col("entries") > ENTRIES) | (F.col("longest") == 0) | (F.col("cost") >= F.col("raw"))
-    return rows.join(entries, "column_name").withColumn("cost", cost).select("column_name", "n", "entries", "raw", "cost", (~refused).alias("accepted"))
+    return rows.withColumn("cost", cost).select("column_name", "n", "entries", "raw", "cost", (~refused).alias("accepted"))
 
 
 def encode(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
