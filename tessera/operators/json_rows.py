@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,75 @@ from ..session import ship
 KINDS = ("null", "boolean", "string", "array", "object", "float", "int", "unsigned", "invalid")
 
 
+def _observed(text: str) -> list[tuple]:
+    """(path, kind, new, n, negative, place, offset, message) of one text."""
+    try:
+        seen: dict[tuple[str, str], list] = {}
+        for place, (path, node) in enumerate(jsontext.walk(jsontext.parse(text))):
+            negative = node.kind == "int" and node.value < 0
+            if (one := seen.get((path, node.kind))) is None:
+                seen[path, node.kind] = [1, negative, place, node.at]
+            else:
+                one[0] += 1
+                one[1] |= negative
+    except jsontext.Malformed as e:
+        return [("$", "invalid", 1, 1, False, 0, e.offset, str(e))]
+    rows, paths = [], set()
+    for (path, kind), (n, negative, place, at) in seen.items():
+        rows.append((path, kind, int(path not in paths), n, negative, place, len(text[:at].encode()), None))
+        paths.add(path)
+    return rows
+
+
+def _alike(keys: list, texts: list) -> Iterator[tuple[int, int, list[int]]]:
+    """(number, last, firsts) of texts that have the same paths and kinds: how many, which has the greatest key, which the least.
+
+    A text stands by itself if its key is no integer or it is no row of JSON tokens.
+    """
+    groups: dict[str, list] = {}
+    for k, (key, text) in enumerate(zip(keys, texts, strict=True)):
+        if text is None:
+            continue
+        shape = jsontext.skeleton(text) if type(key) is int else None
+        if shape is None:
+            yield 1, k, [k]
+        elif (g := groups.get(shape)) is None:
+            groups[shape] = [1, k, [k]]
+        else:
+            g[0] += 1
+            if key > keys[g[1]]:
+                g[1] = k
+            if key < keys[g[2][0]]:
+                g[2] = [k]
+            elif key == keys[g[2][0]]:
+                g[2].append(k)
+    yield from map(tuple, groups.values())
+
+
+def summed(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(path, kind, n, negative, new, last, record, place, offset, message): :func:`observations` added up within each batch.
+
+    Texts of one skeleton are told apart by their places alone, and only the first record's places are asked for: one text of each skeleton is parsed.
+    """
+    ship(texts.sparkSession)
+    kind_of_key = texts.schema[key].dataType.simpleString()
+    names = ["path", "kind", "n", "negative", "new", "last", "record", "place", "offset", "message"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for number, last, firsts in _alike(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in firsts:
+                    count = number - len(firsts) + 1 if k == firsts[0] else 1
+                    rows += [(path, kind, n * count, negative, new * count, last, k, place, offset, message) for path, kind, new, n, negative, place, offset, message in _observed(batch.column(1)[k].as_py())]
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 10, types, strict=True)]
+            keys = {name: batch.column(0).take(arrays[names.index(name)]) for name in ("last", "record")}
+            yield pa.RecordBatch.from_arrays([keys.get(name, x) for name, x in zip(names, arrays, strict=True)], names)
+
+    return texts.select(key, F.col(column).cast("string").alias("text_")).mapInArrow(run, f"path string, kind string, n long, negative boolean, new long, last {kind_of_key}, record {kind_of_key}, place long, offset long, message string")
+
+
 def observations(texts: DataFrame, key: str, column: str) -> DataFrame:
     """(record, path, kind, new, n, negative, place, offset, message): for each record how often a path has a kind, and where first.
 
@@ -33,21 +102,7 @@ def observations(texts: DataFrame, key: str, column: str) -> DataFrame:
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if text is None:
                     continue
-                try:
-                    seen: dict[tuple[str, str], list] = {}
-                    for place, (path, node) in enumerate(jsontext.walk(jsontext.parse(text))):
-                        negative = node.kind == "int" and node.value < 0
-                        if (one := seen.get((path, node.kind))) is None:
-                            seen[path, node.kind] = [1, negative, place, node.at]
-                        else:
-                            one[0] += 1
-                            one[1] |= negative
-                    paths: set[str] = set()
-                    for (path, kind), (n, negative, place, at) in seen.items():
-                        rows.append((k, path, kind, int(path not in paths), n, negative, place, len(text[:at].encode()), None))
-                        paths.add(path)
-                except jsontext.Malformed as e:
-                    rows.append((k, "$", "invalid", 1, 1, False, 0, e.offset, str(e)))
+                rows += [(k, *one) for one in _observed(text)]
             columns = list(zip(*rows, strict=True)) or [()] * 9
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -63,8 +118,8 @@ def infer(texts: DataFrame, key: str, column: str) -> DataFrame:
     A path is nullable if it is null somewhere or absent from an object that could have it. Paths in order of
     (first_record, first_place) are in order of first sight. A conflict names, for each kind, its records, and the first's byte.
     """
-    one = observations(texts, key, column).groupBy("path", "kind").agg(
-        F.sum("n").alias("n"), F.bool_or("negative").alias("negative"), F.sum("new").alias("n_records"), F.max("record").alias("last"),
+    one = summed(texts, key, column).groupBy("path", "kind").agg(
+        F.sum("n").alias("n"), F.bool_or("negative").alias("negative"), F.sum("new").alias("n_records"), F.max("last").alias("last"),
         F.min(F.struct("record", "place", "offset", "message")).alias("first"),
     )
     has = lambda k: F.bool_or(F.col("kind") == k).alias(f"is_{k}")
@@ -83,8 +138,11 @@ def infer(texts: DataFrame, key: str, column: str) -> DataFrame:
     kind = F.when(clash, None).when(F.col("is_float"), "double").when(F.col("is_unsigned"), "decimal(20,0)").when(F.col("is_int"), "bigint").when(F.col("is_boolean"), "boolean").when(F.col("is_string"), "string").when(F.col("is_array"), "array").when(F.col("is_object"), "struct")
     words = F.when(clash, F.concat(F.lit("type conflict at "), F.col("path"), F.lit(": "), F.array_join("details", "; "))).when(families == 0, "only ever null")
     parent = F.regexp_replace("path", r'(\.\w+|\["(?:[^"\\]|\\.)*"\]|\[\])$', "")
-    above = got.select(F.col("path").alias("parent"), F.col("objects").alias("could"))
-    rows = got.withColumn("parent", F.when((F.col("path") != "$") & ~F.endswith("path", F.lit("[]")), parent)).join(above, "parent", "left")
+    # each path meets the objects above it in a window: a join with itself would read the texts twice
+    holder = F.when((F.col("path") != "$") & ~F.endswith("path", F.lit("[]")), parent)
+    rows = got.withColumn("at", F.explode(F.array(F.struct(F.col("path").alias("place"), F.lit(True).alias("own")), F.struct(holder.alias("place"), F.lit(False).alias("own")))))
+    could = F.max(F.when(F.col("at.own"), F.col("objects"))).over(Window.partitionBy("at.place"))
+    rows = rows.withColumn("could", could).where(~F.col("at.own"))
     absent = F.coalesce(F.col("n") < F.col("could"), F.lit(False))
     return rows.select("path", kind.alias("type"), (F.col("is_null") | absent).alias("nullable"), words.alias("conflict"), "n_records", F.col("first.record").alias("first_record"), F.col("first.place").alias("first_place"))
 

@@ -394,6 +394,61 @@ def test_conflicts_name_records_and_bytes(spark):
     assert got["$.a"].n_records == 3 and got["$.a.b"].first_record == 1
 
 
+_ODD_TEXTS = ['{"a": 1, "b": [1.5, -2]}', '{"a": -1, "b": [1e5, -7]}', '{"a": 2, "b": ["x", null]}', "[-1-9]", "[-10.5]", "01", "00", "[1 2]", '{"a": 18446744073709551615, "a": 9}', '{"a": 99999999999999999999, "a": 3}', '"\\u12"', '{"é": -0, "b": {"c": []}}', '{"é": 0, "b": {"c": []}}', "NaN", "", "-", '{"a": 5, "b": [2.5, -2]}', "[" * 201 + "]" * 201]
+
+
+def test_texts_of_one_skeleton_add_up(spark):
+    """Sums of batches say what single records do, and only one text of each skeleton is read."""
+    rows = [(k * 7919 % 400, _ODD_TEXTS[k % len(_ODD_TEXTS)]) for k in range(400)] + [(None, "[true]"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(2)
+    first = F.min(F.struct("record", "place", "offset", "message")).alias("first")
+    got = json_rows.summed(df, "id", "t")
+    want = json_rows.observations(df, "id", "t").groupBy("path", "kind").agg(F.sum("n").alias("n"), F.bool_or("negative").alias("negative"), F.sum("new").alias("new"), F.max("record").alias("last"), first)
+    assert got.count() < json_rows.observations(df, "id", "t").count()
+    got = got.groupBy("path", "kind").agg(F.sum("n").alias("n"), F.bool_or("negative").alias("negative"), F.sum("new").alias("new"), F.max("last").alias("last"), first)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_are_read_once(spark):
+    df = json_rows.infer(spark.createDataFrame([(1, '{"a": {"b": 1}}'), (2, '{"a": {}}')], "id long, t string"), "id", "t")
+    assert {r.path: r.nullable for r in df.collect()} == {"$": False, "$.a": False, "$.a.b": True}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_writers_and_readers_of_a_type():
+    t = T._parse_datatype_string("id long, s struct<a: string, x: double, d: decimal(20,3), w: timestamp>, l array<struct<n: int, t: string, f: double>>, m map<string, long>, f float, b boolean, z binary, k array<int>")
+    import datetime
+    import decimal
+
+    line = [{"n": k * (-1) ** k, "t": "é" * k if k % 3 else None, "f": k / 7} for k in range(9)]
+    rows = [
+        {"id": -5, "s": {"a": "x" * 200, "x": -0.0, "d": decimal.Decimal("-1.500"), "w": datetime.datetime(2020, 1, 2, tzinfo=datetime.UTC)}, "l": line, "m": {"b": 1, "a": None}, "f": 1.5, "b": True, "z": b"hi", "k": [1, None, 300]},
+        {"id": 2**62, "s": None, "l": [line[1], None, line[3]], "m": None, "f": None, "b": None, "z": None, "k": []},
+    ]
+    for row in rows:
+        data = message.write(row, t)
+        assert message.writer(t)(row) == data
+        r = message.Reader(data)
+        got, at = message.reader(t)(data, 0)
+        assert repr(got) == repr(message.read(r, t)) and at == r.at == len(data)
+
+
+@pytest.mark.parametrize("text", [*_ODD_TEXTS, '{"b": 1, "a": [true, null, 1e400, "\\ud800", 18446744073709551615]}', str([{"k": k, "x": 1.5} for k in range(9)]).replace("'", '"'), "[" * 200 + "]" * 200])
+def test_documents_by_either_reader(text):
+    try:
+        want = b"\3" + message.write_any(jsontext.parse(text))
+    except jsontext.Malformed as e:
+        with pytest.raises(jsontext.Malformed, match=str(e.line)):
+            message.document(text)
+        return
+    assert message.document(text) == want
+    got, at = message.read_plain(want, 1)
+    assert at == len(want) and repr(got) == repr(message.read_any(message.Reader(want, 1)))
+    for cut in range(1, len(want)):
+        with pytest.raises((message.Damaged, ValueError, IndexError)):
+            message.read_plain(want[:cut], 1)
+
+
 @pytest.mark.parametrize(("value", "text"), [(1e-6, "0.000001"), (9.5e-7, "9.5e-7"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (-0.0, "-0"), (123.0, "123"), (0.001, "0.001"), (12345678.25, "12345678.25"), (1.5e-10, "1.5e-10"), (5e-324, "4.9e-324"), (-1.25e30, "-1.25e+30")])
 def test_numbers_are_spelled(spark, value, text):
     got = spark.createDataFrame([(value,)], "v double").select(json_rows.number_text(F.col("v")).alias("t")).first().t
